@@ -23,7 +23,7 @@ from palaver.operators.ranking import top_n_with_rest as first_n_and_rest
 from palaver.plans import markup, reports, views
 from palaver.sources import pages as P
 from palaver.sources import posts as posts_io
-from palaver.session import scratch_path
+from palaver.session import scratch_path, spread
 from palaver.streaming.ingest import ingest_pages
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,7 +64,8 @@ def src_html_pages(spark, sf_dir):
     pages = P.read_pages(
         spark, path, views.THREAD_FOLDER, views.PAGE_FOLDER, recursive=True
     )
-    return big(pages.select("thread_id", "page_num", F.length(F.trim("html")).alias("chars")))
+    articles = F.size(F.split("html", "<article ")) - 1
+    return big(pages.select("thread_id", "page_num", articles.alias("posts")))
 
 
 def _posts_round_trip(spark, sf_dir, fmt):
@@ -172,7 +173,8 @@ def extract_lists(spark, sf_dir):
 
 @query
 def extract_generic(spark, sf_dir):
-    outlines = P.extract_generic(views.table(spark, sf_dir, "pages"))
+    pages = spread(views.table(spark, sf_dir, "pages"), "page_id")
+    outlines = P.extract_generic(pages)
     return outlines.select("page_id", "links", "paragraphs")
 
 
@@ -786,10 +788,8 @@ def ingest_incremental(spark, sf_dir):
     landing, out = scratch_path(spark, "landing"), scratch_path(spark, "ingested")
     for batch, max_turn in enumerate((3, None)):
         pages = views.thread_pages(spark, sf_dir, max_turn)
-        views.write_page_files(pages, f"{landing}/batch{batch}")
-        posts = ingest_pages(
-            spark, landing, out, views.THREAD_FOLDER, views.PAGE_FOLDER
-        )
+        P.write_pages(pages, f"{landing}/batch{batch}")
+        posts = ingest_pages(spark, landing, out, packed=True)
     newest = posts_io.latest_version(posts)
     return newest.select("thread_id", "post_num", "author", "content")
 

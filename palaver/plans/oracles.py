@@ -240,9 +240,8 @@ def _shares(stats: str, metric: str, n: int, total: str, keys: str = "", years:
 
 # --- sources and sinks
 _sql("src_html_pages", """
-    SELECT thread_id, CAST(ceil(post_num / 20) AS BIGINT) AS page_num, CAST(NULL AS BIGINT) AS chars
-    FROM forum GROUP BY ALL""")
-del ORACLES["src_html_pages"]
+    SELECT thread_id, (post_num + 19) // 20 AS page_num, count(*) AS posts
+    FROM forum GROUP BY thread_id, (post_num + 19) // 20""")
 _sql("src_posts", _FACTS)
 _sql("sink_posts", _FACTS)
 _sql("sink_report", _AUTHOR_TABLE)

@@ -13,6 +13,7 @@ from palaver.functions.paging import page_of_post
 from palaver.functions.text import strip_whitespace, with_text_columns
 from palaver.functions.times import instant_of_utc
 from palaver.schema import POSTS_SCHEMA
+from palaver.session import shuffle_width, spread
 
 _STRINGS = T.ArrayType(T.StringType())
 
@@ -28,7 +29,8 @@ def _local(start: str, seconds: Column) -> Column:
 def doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as posts: a source is an author, a language a thread."""
     post_num = F.col("doc_id") + 1
-    rows = table(spark, sf_dir, "documents").select(
+    documents = spread(table(spark, sf_dir, "documents"), "doc_id")
+    rows = documents.select(
         F.col("lang").alias("thread_id"),
         post_num.alias("post_num"),
         page_of_post(post_num).cast("int").alias("page_num"),
@@ -177,9 +179,13 @@ def thread_pages(spark: SparkSession, sf_dir: str, max_turn: int | None = None)
     # A page holds at most twenty posts.
     posts = F.array_sort(F.collect_list(F.struct(turn.alias("turn"), post.alias("html"))))
     body = F.array_join(F.transform(posts, lambda p: p["html"]), "")
-    return turns.groupBy(
-        F.col("conv_id").cast("string").alias("thread_id"), page.alias("page_num")
-    ).agg(F.concat(F.lit("<html><body>"), body, F.lit("</body></html>")).alias("html"))
+    # Shuffled by page up front: the grouping needs no further shuffle, and as a
+    # set number of partitions it is not merged into few, whose pages the parser
+    # would then work through alone.
+    keyed = turns.withColumns(
+        {"thread_id": F.col("conv_id").cast("string"), "page_num": page}
+    ).repartition(shuffle_width(spark), "thread_id", "page_num")
+    return keyed.groupBy("thread_id", "page_num").agg(F.concat(F.lit("<html><body>"), body, F.lit("</body></html>")).alias("html"))
 
 
 def with_page_origin(pages: DataFrame) -> DataFrame:

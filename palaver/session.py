@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the jobs rely on for speed, never for correct results.
 RECOMMENDED = {
@@ -33,3 +33,20 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     root = shared.rstrip("/") if shared else tempfile.mkdtemp(prefix="palaver-")
     return f"{root}/{label}-{uuid.uuid4().hex}"
+
+
+def spread(scan: DataFrame, *keys: str) -> DataFrame:
+    """Give every core work when a scan has too few splits for it.
+
+    Meant for heavy per-row work on a small table. A scan with at least as many
+    splits as cores, any large one, is left as it is: nothing is shuffled.
+    ``scan`` must be a plain scan, as counting its splits plans it.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if scan.rdd.getNumPartitions() >= cores:
+        return scan
+    return scan.repartition(cores, *keys)
+
+
+def shuffle_width(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from html.parser import HTMLParser
 
+import pyarrow as pa
+
 # --- fixed values -----------------------------------------------------------
 VOID_TAGS = frozenset(
     "area base basefont bgsound br col command embed frame hr image img input "
@@ -186,3 +188,41 @@ def outline_of(html):
         "links": sum(n.tag == "a" for n in seen),
         "paragraphs": sum(n.tag == "p" for n in seen),
     }
+
+
+def message_batches(page_names, schema, batch_rows):
+    """Arrow function: batches of pages → batches of message records."""
+
+    def parse(batches):
+        pending = []
+        for batch in batches:
+            html = batch.column("html")
+            head = batch.select(page_names).to_pylist()
+            for row, page in enumerate(head):
+                try:
+                    found = messages_of(html[row].as_py() or "")
+                except AssertionError:  # markup the tokenizer gives up on
+                    found = [{}]
+                pending.extend({**page, **message} for message in found)
+                while len(pending) >= batch_rows:
+                    yield pa.RecordBatch.from_pylist(pending[:batch_rows], schema)
+                    del pending[:batch_rows]
+        if pending:
+            yield pa.RecordBatch.from_pylist(pending, schema)
+
+    return parse
+
+
+def outline_batches(schema):
+    """Arrow function: batches of (page_id, html) → batches of outlines."""
+
+    def parse(batches):
+        for batch in batches:
+            ids, html = batch.column("page_id"), batch.column("html")
+            rows = [
+                {"page_id": ids[i].as_py(), **outline_of(html[i].as_py() or "")}
+                for i in range(batch.num_rows)
+            ]
+            yield pa.RecordBatch.from_pylist(rows, schema)
+
+    return parse

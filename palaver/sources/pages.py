@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,7 +18,10 @@ from palaver.operators.select import (
     filter_post_range,
 )
 from palaver.schema import POSTS_COLUMNS, POSTS_SCHEMA
-from palaver.sources.markup import messages_of, outline_of
+from palaver.sources import markup
+
+# The parser travels with the job, so workers need not have this package.
+cloudpickle.register_pickle_by_value(markup)
 
 # First digits of the file name, and the name of the folder it lies in.
 FILE_NAME_DIGITS = r"[^/0-9]*(\d+)[^/]*$"
@@ -96,9 +97,30 @@ def read_pages(
     return page_columns(reader.text(path, wholetext=True), thread_pattern, page_pattern)
 
 
+PACKED_SCHEMA = "thread_id string, page_num int, html string"
+
+
 def write_pages(pages: DataFrame, path: str, mode: str = "error") -> None:
-    """Pages as Parquet. One file per page is slow to list; pack them once."""
-    pages.write.mode(mode).parquet(path)
+    """Pages packed as Parquet: at scale one file per page is slow to list."""
+    pages.select("thread_id", "page_num", "html").write.mode(mode).parquet(path)
+
+
+def packed_page_columns(packed: DataFrame) -> DataFrame:
+    """Packed pages → pages; works on batch and stream readers alike."""
+    return packed.select(
+        "thread_id",
+        "page_num",
+        F.col("_metadata.file_path").alias("source_path"),
+        F.col("_metadata.file_modification_time").alias("ingested_at"),
+        F.make_valid_utf8("html").alias("html"),
+    )
+
+
+def read_packed_pages(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Pages from ``write_pages``."""
+    paths = [path] if isinstance(path, str) else path
+    reader = spark.read.schema(PACKED_SCHEMA).option("recursiveFileLookup", "true")
+    return packed_page_columns(reader.parquet(*paths))
 
 
 def extract_messages(pages: DataFrame) -> DataFrame:
@@ -107,29 +129,9 @@ def extract_messages(pages: DataFrame) -> DataFrame:
     A page is parsed once, where it was read: nothing is shuffled. Only the
     needed columns are sent over.
     """
-    sent = pages.select(*[f.name for f in PAGE_FIELDS], "html")
-    return sent.mapInArrow(_messages_of_batches, MESSAGE_SCHEMA)
-
-
-def _messages_of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = to_arrow_schema(MESSAGE_SCHEMA)
     names = [f.name for f in PAGE_FIELDS]
-    pending: list[dict] = []
-    for batch in batches:
-        html = batch.column("html")
-        head = batch.select(names)
-        for row in range(batch.num_rows):
-            page = {n: head.column(n)[row].as_py() for n in names}
-            try:
-                found = messages_of(html[row].as_py() or "")
-            except AssertionError:  # markup the tokenizer gives up on
-                found = [{}]
-            pending.extend({**page, **message} for message in found)
-            while len(pending) >= BATCH_ROWS:
-                yield pa.RecordBatch.from_pylist(pending[:BATCH_ROWS], schema)
-                del pending[:BATCH_ROWS]
-    if pending:
-        yield pa.RecordBatch.from_pylist(pending, schema)
+    parse = markup.message_batches(names, to_arrow_schema(MESSAGE_SCHEMA), BATCH_ROWS)
+    return pages.select(*names, "html").mapInArrow(parse, MESSAGE_SCHEMA)
 
 
 def _likes(names: Column, text: Column) -> Column:
@@ -228,15 +230,5 @@ def extract_posts(
 
 def extract_generic(pages: DataFrame) -> DataFrame:
     """Text, link count and paragraph count of any web pages (page_id, html)."""
-    return pages.select("page_id", "html").mapInArrow(_outlines_of_batches, OUTLINE_SCHEMA)
-
-
-def _outlines_of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = to_arrow_schema(OUTLINE_SCHEMA)
-    for batch in batches:
-        ids, html = batch.column("page_id"), batch.column("html")
-        rows = (
-            {"page_id": ids[i].as_py(), **outline_of(html[i].as_py() or "")}
-            for i in range(batch.num_rows)
-        )
-        yield pa.RecordBatch.from_pylist(list(rows), schema)
+    parse = markup.outline_batches(to_arrow_schema(OUTLINE_SCHEMA))
+    return pages.select("page_id", "html").mapInArrow(parse, OUTLINE_SCHEMA)

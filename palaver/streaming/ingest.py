@@ -8,8 +8,10 @@ from palaver.schema import POSTS_SCHEMA
 from palaver.sources.pages import (
     FILE_NAME_DIGITS,
     FOLDER_PATTERN,
+    PACKED_SCHEMA,
     accepted,
     extract,
+    packed_page_columns,
     page_columns,
     quarantined,
 )
@@ -24,21 +26,26 @@ def ingest_pages(
     out: str,
     thread_pattern: str = FOLDER_PATTERN,
     page_pattern: str = FILE_NAME_DIGITS,
+    packed: bool = False,
     max_files: int | None = None,
 ) -> DataFrame:
     """Extract all files that landed since the last call, then return all posts.
 
-    Put each download into a new sub-folder of ``landing``: a page fetched again
-    is a new file there, while a file rewritten in place goes unnoticed. ``out``
+    Put each download into a new sub-folder of ``landing``, as one file per page
+    or ``packed`` by ``write_pages``: a page fetched again is a new file there,
+    while a file rewritten in place goes unnoticed. ``out``
     receives posts, quarantined posts and the stream's own progress. A micro-batch
     that is repeated after a failure replaces its earlier output. Older copies of
     a page remain stored; read through ``latest_version`` to hide them.
     """
-    reader = spark.readStream.schema(_FILE_SCHEMA).format("text")
-    reader = reader.option("wholetext", "true").option("recursiveFileLookup", "true")
+    reader = spark.readStream.option("recursiveFileLookup", "true")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    pages = page_columns(reader.load(landing), thread_pattern, page_pattern)
+    if packed:
+        pages = packed_page_columns(reader.schema(PACKED_SCHEMA).parquet(landing))
+    else:
+        files = reader.schema(_FILE_SCHEMA).text(landing, wholetext=True)
+        pages = page_columns(files, thread_pattern, page_pattern)
 
     def store(batch: DataFrame, batch_id: int) -> None:
         # Kept, so that the pages are parsed once for both outputs.

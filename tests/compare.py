@@ -21,9 +21,12 @@ def connect(sf_dir):
     return con
 
 
+DIGITS = "EXACT" not in os.environ
+
+
 def normal(value):
     if isinstance(value, float):
-        return float(f"{value:.12g}")
+        return float(f"{value:.12g}") if DIGITS else value
     return value
 
 
@@ -55,6 +58,8 @@ def differences(spark, con, name, query, sql, sf_dir):
     for a, b in zip(mine, theirs):
         if a != b:
             return f"{a} / {b}"
+    if not mine:
+        return "no rows"
     return None
 
 

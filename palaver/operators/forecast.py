@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palaver.functions.paging import POSTS_PER_PAGE
+from palaver.operators.gaps import fill_gaps
 from palaver.operators.select import filter_time_range
 
 KINDS = ("post", "page", "timestamp")
@@ -39,6 +40,8 @@ def check_period(
         raise TypeError("the period bounds must be integers")
     if kind not in KINDS:
         raise ValueError(f"the period type must be one of {', '.join(KINDS)}")
+    if not total:
+        raise ValueError("there are no posts to forecast from")
     if goal <= total:
         raise ValueError(f"the goal of {goal} is already reached")
     if kind == "timestamp":
@@ -89,13 +92,7 @@ def daily_histogram(period: DataFrame) -> DataFrame:
     counts = period.groupBy(F.to_date("creation_local").alias("day")).agg(
         F.count(F.lit(1)).alias("posts")
     )
-    span = period.agg(
-        F.to_date(F.min("creation_local")).alias("first"),
-        F.to_date(F.max("creation_local")).alias("last"),
-    )
-    one_day = F.expr("INTERVAL 1 DAY")
-    days = span.select(F.explode(F.sequence("first", "last", one_day)).alias("day"))
-    return days.join(counts, "day", "left").na.fill(0, ["posts"])
+    return fill_gaps(counts, "day", ["posts"])
 
 
 def forecast_series(period: DataFrame, total: Column, goal: int) -> DataFrame:

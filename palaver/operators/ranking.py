@@ -68,6 +68,19 @@ def share_of_total(
     return joined.withColumn("share", share).drop("total")
 
 
+def totals_of(
+    stats: DataFrame, metric: str, ties: Sequence[str], by: Sequence[str] = ()
+) -> DataFrame:
+    """``total`` of each group, and when the group first appeared.
+
+    Taken from the aggregated rows. Asking for the first appearance as well makes
+    this read the very columns a ranking reads, so Spark shuffles them once.
+    """
+    return stats.groupBy(*by).agg(
+        F.sum(metric).alias("total"), F.min(ties[0]).alias(ties[0])
+    )
+
+
 def top_n_with_rest(
     stats: DataFrame,
     totals: DataFrame,
@@ -79,31 +92,29 @@ def top_n_with_rest(
 ) -> DataFrame:
     """Shares of the first n rows and, flagged ``is_rest``, of all the others.
 
-    Every group in ``totals`` gets its remainder row, even without a top row.
+    ``totals`` comes from ``totals_of``; every group in it gets its remainder
+    row, even without a top row.
     """
     top = top_n(stats, metric, n, ties, by)
-    shares = share_of_total(top, totals, metric, by).select(
-        *by,
-        name,
-        F.col(metric).alias("amount"),
-        "share",
-        F.lit(False).alias("is_rest"),
-        ties[0],
-    )
-    shown = F.sum(metric).alias("shown")
+    shown = top.groupBy(*by).agg(F.sum(metric).alias("shown"))
     if by:
-        sums = top.groupBy(*by).agg(shown)
-        rest = totals.join(sums, list(by), "left")
+        sums = totals.join(shown, list(by), "left")
     else:
-        rest = totals.withColumn("shown", top.agg(shown).scalar())
-    amount = F.col("total") - F.coalesce(F.col("shown"), F.lit(0))
-    rest = rest.select(
+        sums = totals.withColumn("shown", shown.scalar())
+    zero = F.lit(0)
+    rest = sums.select(
         *by,
         F.lit(REST).alias(name),
-        amount.alias("amount"),
-        F.coalesce(
-            F.try_divide(amount, F.col("total")), F.lit(1.0)
-        ).alias("share"),
+        (F.coalesce("total", zero) - F.coalesce("shown", zero)).alias("amount"),
         F.lit(True).alias("is_rest"),
+        ties[0],
+    )
+    first = top.select(
+        *by, name, F.col(metric).alias("amount"), F.lit(False).alias("is_rest"), ties[0]
+    )
+    # At most n + 1 rows a group by now, and they add up to its total.
+    total = F.sum("amount").over(W.partitionBy(*by))
+    share = F.try_divide(F.col("amount"), total)
+    return rest.unionByName(first).withColumn(
+        "share", F.when(F.col("is_rest"), F.coalesce(share, F.lit(1.0))).otherwise(share)
     )
-    return rest.unionByName(shares, allowMissingColumns=True)

@@ -8,24 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palaver.functions.times import year_of
-from palaver.operators.ranking import top_n
-
-CRITERIA = ("messages", "words")
-
+from palaver.operators.gaps import fill_gaps
+from palaver.operators.ranking import top_n, totals_of
 
 def with_year(df: DataFrame) -> DataFrame:
     return df.withColumn("year", year_of(F.col("creation_local")))
 
 
-def calendar(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """All years from the first to the last post, of each group."""
-    local = F.col("creation_local")
-    span = df.groupBy(*by).agg(
-        year_of(F.min(local)).alias("_first"), year_of(F.max(local)).alias("_last")
-    )
-    return span.select(*by, F.explode(F.sequence("_first", "_last")).alias("year"))
-
-
 def author_years(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """messages, words and first_post of each author in each year."""
     return (
@@ -39,12 +28,12 @@ def author_years(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def year_totals(df: DataFrame, metric: str, by: Sequence[str] = ()) -> DataFrame:
-    """Total of a criterion in every calendar year; 0 where nobody posted."""
-    amount = F.count(F.lit(1)) if metric == "messages" else F.sum("word_count")
-    sums = with_year(df).groupBy(*by, "year").agg(amount.alias("total"))
-    filled = calendar(df, by).join(sums, [*by, "year"], "left")
-    return filled.withColumn("total", F.coalesce("total", F.lit(0)))
+def year_totals(
+    stats: DataFrame, metric: str, by: Sequence[str] = ()
+) -> DataFrame:
+    """Total of a criterion in every calendar year, from ``author_years`` rows."""
+    totals = totals_of(stats, metric, ("first_post",), [*by, "year"])
+    return fill_gaps(totals, "year", ["total"], by)
 
 
 def authors_per_year(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -53,13 +42,12 @@ def authors_per_year(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     Authors are folded to one row each before they are counted, so a year with
     most of the posts is no heavier than the others.
     """
-    sums = (
+    counts = (
         author_years(df, by)
         .groupBy(*by, "year")
         .agg(F.count(F.lit(1)).alias("authors"), F.sum("messages").alias("messages"))
     )
-    filled = calendar(df, by).join(sums, [*by, "year"], "left")
-    return filled.na.fill(0, ["authors", "messages"])
+    return fill_gaps(counts, "year", ["authors", "messages"], by)
 
 
 def messages_per_author_per_year(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:

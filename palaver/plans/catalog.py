@@ -17,6 +17,7 @@ from palaver.operators import select as S
 from palaver.operators import years as Y
 from palaver.operators.frontier import frontier_pages as list_frontier
 from palaver.operators.occurrences import FIRST_SEEN
+from palaver.operators.ranking import totals_of
 from palaver.operators.ranking import share_of_total as add_share
 from palaver.operators.ranking import top_n as first_n
 from palaver.operators.ranking import top_n_with_rest as first_n_and_rest
@@ -563,7 +564,7 @@ def yearly_top_n_large(spark, sf_dir):
 def share_of_total(spark, sf_dir):
     posts = views.ord_(spark, sf_dir)
     stats = Y.author_years(posts)
-    totals = Y.year_totals(posts, "messages")
+    totals = Y.year_totals(stats, "messages").select("year", "total")
     shares = add_share(stats, totals, "messages", ["year"], 100.0)
     return big(shares.select("year", "author", "messages", "share"))
 
@@ -577,8 +578,8 @@ def top_n(spark, sf_dir):
 @query
 def top_n_with_rest(spark, sf_dir):
     posts = views.doc(spark, sf_dir)
-    totals = A.total_words(posts).withColumnRenamed("words", "total")
     stats = A.words_by_author(posts)
+    totals = totals_of(stats, "words", ("first_post",))
     return first_n_and_rest(stats, totals, "words", "author", 5, ("first_post", "author"))
 
 

@@ -227,14 +227,15 @@ def _shares(stats: str, metric: str, n: int, total: str, keys: str = "", years:
     SELECT * FROM (
       WITH ranked AS (SELECT *, row_number() OVER ({part} ORDER BY {metric} DESC, first_post, author) AS r
                       FROM {stats}),
-           totals AS (SELECT {keys}CAST({total} AS BIGINT) AS total FROM {stats} {group}),
+           totals AS (SELECT {keys}CAST({total} AS BIGINT) AS total, min(first_post) AS first
+                      FROM {stats} {group}),
            sums AS (SELECT {keys}CAST(sum({metric}) AS BIGINT) AS shown FROM ranked WHERE r <= {n} {group})
       SELECT {keys}author, {metric} AS amount, {metric} / total AS share, false AS is_rest, first_post
       FROM ranked {top_join} WHERE r <= {n}
       UNION ALL
       SELECT {keys}'Rest', coalesce(total, 0) - coalesce(shown, 0),
              CASE WHEN coalesce(total, 0) = 0 THEN 1.0
-                  ELSE (total - coalesce(shown, 0)) / total END, true, NULL
+                  ELSE (total - coalesce(shown, 0)) / total END, true, first
       FROM {groups} {join} {join_top})"""
 
 
@@ -463,13 +464,14 @@ _sql("rep_emoji_share_first_seen", """
     FROM emo_freq ORDER BY first_seen, emoji LIMIT 3""")
 _sql("rep_emoji_distribution", """
     SELECT u.author, u.total, u.first_post, coalesce(s.emoji, 'Andere') AS emoji,
-           s.emoji IS NULL AS is_others, CAST(sum(u.n) AS BIGINT) AS n
+           s.emoji IS NULL AS is_others, CAST(sum(u.n) AS BIGINT) AS n, min(u.seen) AS first_seen
     FROM emo_used u
     LEFT JOIN (SELECT emoji FROM emo_used GROUP BY emoji
                ORDER BY sum(n) DESC, min(seen), emoji LIMIT 3) s ON u.emoji = s.emoji
     GROUP BY u.author, u.total, u.first_post, s.emoji""")
 _sql("rep_emoji_distribution_all", """
-    SELECT author, total, first_post, emoji, false AS is_others, CAST(sum(n) AS BIGINT) AS n
+    SELECT author, total, first_post, emoji, false AS is_others, CAST(sum(n) AS BIGINT) AS n,
+           min(seen) AS first_seen
     FROM emo_used GROUP BY author, total, first_post, emoji""")
 _sql("rep_top_mentioned", """
     SELECT t.user_id, coalesce(n.name, t.user_id) AS name, t.times, t.first_seen

@@ -23,6 +23,7 @@ from palaver.operators.ranking import (
     share_of_total,
     top_n,
     top_n_with_rest,
+    totals_of,
 )
 from palaver.operators.select import having_min_messages
 
@@ -72,9 +73,8 @@ def top_share(
 ) -> DataFrame:
     """Share of the n first authors in all messages or words, and the rest."""
     metric = Y.metric_of(criterion)
-    sums = A.total_messages if metric == "messages" else A.total_words
-    totals = sums(df, by).withColumnRenamed(metric, "total")
     stats = A.author_stats(df, by).select(*by, "author", metric, "first_post")
+    totals = totals_of(stats, metric, AUTHOR_TIES, by)
     shares = top_n_with_rest(stats, totals, metric, "author", n, AUTHOR_TIES, by)
     return _rest_first(shares, by)
 
@@ -84,9 +84,9 @@ def yearly_top_share(
 ) -> DataFrame:
     """The same for every calendar year; a year without posts is all rest."""
     metric = Y.metric_of(criterion)
-    totals = Y.year_totals(df, metric, by)
     keys = [*by, "year"]
     stats = Y.author_years(df, by).select(*keys, "author", metric, "first_post")
+    totals = Y.year_totals(stats, metric, by)
     shares = top_n_with_rest(stats, totals, metric, "author", n, AUTHOR_TIES, keys)
     percent = (F.col("share") * 100).alias("pct")
     return _rest_first(shares, keys).select(
@@ -140,9 +140,9 @@ def emoji_distribution(
         used.join(shown, [*by, "emoji"], "left")
         .withColumn("is_others", F.col("is_shown").isNull())
         .groupBy(*by, "author", "total", "first_post", label.alias("emoji"), "is_others")
-        .agg(F.sum("n").alias("n"))
+        .agg(F.sum("n").alias("n"), F.min(FIRST_SEEN).alias(FIRST_SEEN))
     )
-    inside = ["is_others", F.col("n").desc(), "emoji"]
+    inside = ["is_others", *order_of("n", EMOJI_TIES)]
     return cells.orderBy(*by, *order_of("total", AUTHOR_TIES), *inside)
 
 
@@ -196,7 +196,7 @@ def _checked_period(
         F.unix_seconds(F.max("creation_ts")).alias("last"),
     ).first()
     start, end = FC.check_period(
-        facts.total, facts.first or 0, facts.last or 0, goal, start, end, kind
+        facts.total, facts.first, facts.last, goal, start, end, kind
     )
     return FC.period_select(df, start, end, kind), facts.total
 

@@ -83,7 +83,10 @@ def latest_version(
     join splits a key that holds very many rows.
     """
     rank = F.struct(*version) if len(version) > 1 else F.col(version[0])
-    newest = df.groupBy(*keys).agg(F.max(rank).alias("_newest"))
+    # Distinct versions first, by hashing: the maximum of a pair needs sorted
+    # input, and this way few rows are left to sort.
+    versions = df.select(*keys, *version).distinct() if len(version) > 1 else df
+    newest = versions.groupBy(*keys).agg(F.max(rank).alias("_newest"))
     a, b = df.withColumn("_version", rank).alias("a"), newest.alias("b")
     # Not an equality, or it would become a second join key and cost a shuffle.
     same = F.col("a._version") >= F.col("b._newest")

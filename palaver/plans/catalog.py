@@ -730,7 +730,7 @@ def _goal(spark, sf_dir):
 @query
 def period_select(spark, sf_dir):
     posts = views.evt(spark, sf_dir)
-    selected = FC.period_select(posts, 10, 200, "page")
+    selected = FC.period_select(posts, 10, 40, "page")
     return selected.select("post_num")
 
 
@@ -758,7 +758,7 @@ def daily_histogram(spark, sf_dir):
 @query
 def forecast_series(spark, sf_dir):
     posts = views.evt(spark, sf_dir)
-    period = FC.period_select(posts, 10, 200, "page")
+    period = FC.period_select(posts, 10, 40, "page")
     total = A.total_messages(posts).scalar()
     return _day_as_text(FC.forecast_series(period, total, _goal(spark, sf_dir)))
 
@@ -774,7 +774,7 @@ def rep_forecast(spark, sf_dir):
 @query
 def rep_forecast_summary(spark, sf_dir):
     summary = reports.forecast_summary(
-        views.evt(spark, sf_dir), _goal(spark, sf_dir), 10, 200, "page", "(Test)"
+        views.evt(spark, sf_dir), _goal(spark, sf_dir), 10, 40, "page", "(Test)"
     )
     return _outlook_columns(summary.drop("title"))
 

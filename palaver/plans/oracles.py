@@ -140,7 +140,7 @@ VIEWS = {
         SELECT *, trim(content, {_STRIP_MORE}) AS stripped,
                list_filter(string_split_regex(content, {_SEPARATORS}),
                            lambda w: regexp_matches(w, {_WORD})) AS words FROM forum""",
-    "evt_page_period": "SELECT * FROM evt WHERE page_num BETWEEN 10 AND 200",
+    "evt_page_period": "SELECT * FROM evt WHERE page_num BETWEEN 10 AND 40",
     "evt_time_period": """
         SELECT * FROM evt WHERE creation_local BETWEEN TIMESTAMP '2024-01-03'
                                                AND TIMESTAMP '2024-01-17 14:00:00'""",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -61,11 +62,12 @@ def check_period(
     return start, end
 
 
-def posting_rate(period: DataFrame) -> DataFrame:
+def posting_rate(period: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """posts, seconds and posts per day of a period; no rate over 0 seconds."""
     span = F.unix_micros(F.max("creation_ts")) - F.unix_micros(F.min("creation_ts"))
     return (
-        period.agg(
+        period.groupBy(*by)
+        .agg(
             F.count(F.lit(1)).alias("posts"),
             F.floor(span / 1_000_000).alias("seconds"),
             F.max("creation_local").alias("end_local"),
@@ -87,12 +89,12 @@ def days_to_goal(rate: DataFrame, total: Column, goal: int) -> DataFrame:
     )
 
 
-def daily_histogram(period: DataFrame) -> DataFrame:
+def daily_histogram(period: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Posts of every calendar day from the first to the last, empty days too."""
-    counts = period.groupBy(F.to_date("creation_local").alias("day")).agg(
+    counts = period.groupBy(*by, F.to_date("creation_local").alias("day")).agg(
         F.count(F.lit(1)).alias("posts")
     )
-    return fill_gaps(counts, "day", ["posts"])
+    return fill_gaps(counts, "day", ["posts"], by)
 
 
 def forecast_series(period: DataFrame, total: Column, goal: int) -> DataFrame:

@@ -47,6 +47,11 @@ POSTS_SCHEMA = T.StructType(
 
 POSTS_COLUMNS = POSTS_SCHEMA.names
 
+# As extracted: with the reasons, if any, why a post could not be read.
+EXTRACTED_SCHEMA = T.StructType(
+    [*POSTS_SCHEMA.fields, T.StructField("problems", _STRINGS)]
+)
+
 
 def check_posts_columns(df: DataFrame) -> DataFrame:
     """Return ``df`` if it is a posts table, else raise ``ValueError``."""

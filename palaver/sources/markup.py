@@ -49,6 +49,9 @@ class PageNodes(HTMLParser):
         self._counts = {}
         self._hidden = 0
 
+    def updatepos(self, i, j):
+        return j  # nobody asks for line numbers; counting them takes time
+
     def handle_starttag(self, tag, attrs):
         self.nodes.append(Node(tag, dict(attrs), None))
         if tag in VOID_TAGS:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palaver.schema import POSTS_SCHEMA, check_posts_columns
+from palaver.schema import EXTRACTED_SCHEMA, POSTS_SCHEMA, check_posts_columns
 
 FORMATS = ("parquet", "json")
 REPORT_FORMATS = ("csv", "json", "parquet", "text")
@@ -48,6 +48,10 @@ def write_posts(
     if fmt == "json":
         df.write.mode(mode).option("ignoreNullFields", "false").json(path)
         return
+    _write_parquet(df, path, mode)
+
+
+def _write_parquet(df: DataFrame, path: str, mode: str) -> None:
     conf = df.sparkSession.conf
     before = conf.get(_TIMESTAMPS)
     # Parquet keeps statistics for this type only; time filters need them.
@@ -58,6 +62,17 @@ def write_posts(
         conf.set(_TIMESTAMPS, before)
 
 
+def write_extracted(df: DataFrame, path: str) -> None:
+    """Store posts together with their ``problems``, replacing what is there."""
+    _write_parquet(df, path, "overwrite")
+
+
+def read_extracted(spark: SparkSession, path: str) -> DataFrame:
+    """Everything ``write_extracted`` stored below ``path``."""
+    reader = spark.read.schema(EXTRACTED_SCHEMA).option("recursiveFileLookup", "true")
+    return reader.parquet(path)
+
+
 def concat_parts(*parts: DataFrame) -> DataFrame:
     """Union of partial extractions, sorted by post number."""
     whole = parts[0]

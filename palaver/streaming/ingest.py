@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palaver.schema import POSTS_SCHEMA
 from palaver.sources.pages import (
     FILE_NAME_DIGITS,
     FOLDER_PATTERN,
@@ -15,7 +14,7 @@ from palaver.sources.pages import (
     page_columns,
     quarantined,
 )
-from palaver.sources.posts import write_posts
+from palaver.sources.posts import read_extracted, write_extracted
 
 _FILE_SCHEMA = "value string"
 
@@ -34,7 +33,8 @@ def ingest_pages(
     Put each download into a new sub-folder of ``landing``, as one file per page
     or ``packed`` by ``write_pages``: a page fetched again is a new file there,
     while a file rewritten in place goes unnoticed. ``out``
-    receives posts, quarantined posts and the stream's own progress. A micro-batch
+    receives the extracted posts, unreadable ones marked, and the stream's own
+    progress; each micro-batch is parsed and written in one pass. A micro-batch
     that is repeated after a failure replaces its earlier output. Older copies of
     a page remain stored; read through ``latest_version`` to hide them.
     """
@@ -48,14 +48,7 @@ def ingest_pages(
         pages = page_columns(files, thread_pattern, page_pattern)
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        # Kept, so that the pages are parsed once for both outputs.
-        extracted = extract(batch).persist()
-        folder = f"batch_id={batch_id}"
-        write_posts(accepted(extracted), f"{out}/posts/{folder}", mode="overwrite")
-        quarantined(extracted).write.mode("overwrite").parquet(
-            f"{out}/quarantine/{folder}"
-        )
-        extracted.unpersist()
+        write_extracted(extract(batch), f"{out}/extracted/batch_id={batch_id}")
 
     stream = (
         pages.writeStream.foreachBatch(store)
@@ -67,7 +60,15 @@ def ingest_pages(
     return ingested_posts(spark, out)
 
 
+def _stored(spark: SparkSession, out: str) -> DataFrame:
+    return read_extracted(spark, f"{out}/extracted")
+
+
 def ingested_posts(spark: SparkSession, out: str) -> DataFrame:
     """Posts of all batches, every stored copy of a page included."""
-    stored = spark.read.schema(POSTS_SCHEMA).option("recursiveFileLookup", "true")
-    return stored.parquet(f"{out}/posts")
+    return accepted(_stored(spark, out))
+
+
+def ingested_problems(spark: SparkSession, out: str) -> DataFrame:
+    """Posts of all batches that could not be read, with the reasons."""
+    return quarantined(_stored(spark, out))

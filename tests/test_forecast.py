@@ -98,6 +98,17 @@ def test_empty_days_count_zero(posts):
     assert {r.posts for r in rows} == {0, 1}
 
 
+def test_by_thread(posts):
+    halves = posts.withColumn("thread_id", F.when(F.col("post_num") <= 20, "a").otherwise("b"))
+    rates = {r.thread_id: r for r in FC.posting_rate(halves, ["thread_id"]).collect()}
+    assert (rates["a"].posts, rates["b"].posts) == (20, 30)
+    days = FC.daily_histogram(halves, ["thread_id"]).collect()
+    for thread, times in (("a", TIMES[:20]), ("b", TIMES[20:])):
+        got = {r.day: r.posts for r in days if r.thread_id == thread}
+        assert len(got) == (times[-1].date() - times[0].date()).days + 1
+        assert all(n == sum(t.date() == d for t in times) for d, n in got.items())
+
+
 def test_last_post_at_midnight_has_its_day(spark):
     times = [dt.datetime(2021, 1, 1, 12), dt.datetime(2021, 1, 2)]
     df = spark.createDataFrame([(t,) for t in times], "creation_local timestamp_ntz")

@@ -17,7 +17,7 @@ from palaver.sources.posts import (
     write_posts,
     write_report,
 )
-from palaver.streaming.ingest import ingest_pages
+from palaver.streaming.ingest import ingest_pages, ingested_problems
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -131,7 +131,7 @@ def test_ingest(spark, tmp_path):
     land(landing / "b1", {("a", 1): one, ("b", 1): one + post(post_id="bad")})
     first = ingest_pages(spark, str(landing), out)
     assert contents(first) == {("a", 1): "eins", ("b", 1): "eins"}
-    assert spark.read.parquet(f"{out}/quarantine").count() == 1
+    assert [r.problems for r in ingested_problems(spark, out).collect()] == [["post_id"]]
     # Nothing new: nothing is added.
     assert ingest_pages(spark, str(landing), out).count() == 2
     # The newest page has grown, one of its posts was edited, another page is new.

@@ -96,25 +96,25 @@ def top_n_with_rest(
     row, even without a top row.
     """
     top = top_n(stats, metric, n, ties, by)
-    shown = top.groupBy(*by).agg(F.sum(metric).alias("shown"))
-    if by:
-        sums = totals.join(shown, list(by), "left")
-    else:
-        sums = totals.withColumn("shown", shown.scalar())
-    zero = F.lit(0)
-    rest = sums.select(
+    rows = totals.select(
         *by,
         F.lit(REST).alias(name),
-        (F.coalesce("total", zero) - F.coalesce("shown", zero)).alias("amount"),
+        F.coalesce("total", F.lit(0)).alias("amount"),
         F.lit(True).alias("is_rest"),
         ties[0],
+    ).unionByName(
+        top.select(
+            *by, name, F.col(metric).alias("amount"), F.lit(False).alias("is_rest"), ties[0]
+        )
     )
-    first = top.select(
-        *by, name, F.col(metric).alias("amount"), F.lit(False).alias("is_rest"), ties[0]
-    )
-    # At most n + 1 rows a group by now, and they add up to its total.
-    total = F.sum("amount").over(W.partitionBy(*by))
-    share = F.try_divide(F.col("amount"), total)
-    return rest.unionByName(first).withColumn(
-        "share", F.when(F.col("is_rest"), F.coalesce(share, F.lit(1.0))).otherwise(share)
-    )
+    # A union instead of joins: both sides then read the very same aggregate, and
+    # a window over the n + 1 rows left of each group has all that is needed.
+    group, is_rest, amount = W.partitionBy(*by), F.col("is_rest"), F.col("amount")
+    total = F.sum(F.when(is_rest, amount)).over(group)
+    shown = F.coalesce(F.sum(F.when(~is_rest, amount)).over(group), F.lit(0))
+    rows = rows.select("*", total.alias("_total"), shown.alias("_shown"))
+    rows = rows.withColumn("amount", F.when(is_rest, amount - F.col("_shown")).otherwise(amount))
+    share = F.try_divide(F.col("amount"), F.col("_total"))
+    return rows.withColumn(
+        "share", F.when(is_rest, F.coalesce(share, F.lit(1.0))).otherwise(share)
+    ).drop("_total", "_shown")

@@ -16,7 +16,6 @@ from palaver.operators import references as R
 from palaver.operators import select as S
 from palaver.operators import years as Y
 from palaver.operators.frontier import frontier_pages as list_frontier
-from palaver.operators.occurrences import FIRST_SEEN
 from palaver.operators.ranking import totals_of
 from palaver.operators.ranking import share_of_total as add_share
 from palaver.operators.ranking import top_n as first_n

@@ -185,7 +185,8 @@ def thread_pages(spark: SparkSession, sf_dir: str, max_turn: int | None = None)
     keyed = turns.withColumns(
         {"thread_id": F.col("conv_id").cast("string"), "page_num": page}
     ).repartition(shuffle_width(spark), "thread_id", "page_num")
-    return keyed.groupBy("thread_id", "page_num").agg(F.concat(F.lit("<html><body>"), body, F.lit("</body></html>")).alias("html"))
+    html = F.concat(F.lit("<html><body>"), body, F.lit("</body></html>"))
+    return keyed.groupBy("thread_id", "page_num").agg(html.alias("html"))
 
 
 def with_page_origin(pages: DataFrame) -> DataFrame:

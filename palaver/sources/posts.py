@@ -98,9 +98,12 @@ def latest_version(
     join splits a key that holds very many rows.
     """
     rank = F.struct(*version) if len(version) > 1 else F.col(version[0])
-    # Distinct versions first, by hashing: the maximum of a pair needs sorted
-    # input, and this way few rows are left to sort.
-    versions = df.select(*keys, *version).distinct() if len(version) > 1 else df
+    versions = df
+    if len(version) > 1:
+        # The maximum of a pair needs sorted input. Hashing comes first, so that
+        # one row per copy of a page is left to sort, not one per post.
+        first = F.max(version[0]).alias(version[0])
+        versions = df.groupBy(*keys, *version[1:]).agg(first)
     newest = versions.groupBy(*keys).agg(F.max(rank).alias("_newest"))
     a, b = df.withColumn("_version", rank).alias("a"), newest.alias("b")
     # Not an equality, or it would become a second join key and cost a shuffle.

@@ -8,13 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palaver.operators.occurrences import FIRST_SEEN, appearance
-from palaver.operators.select import filter_unknown
+from palaver.operators.select import NO_ID, NO_NAME, filter_unknown
 
 
-def _times(df: DataFrame, column: str, item: str, by: Sequence[str]) -> DataFrame:
+def _times(
+    df: DataFrame, column: str, item: str, unknown: str, by: Sequence[str]
+) -> DataFrame:
     rows = df.select(*by, "post_num", F.posexplode(column).alias("pos", item))
     return (
-        filter_unknown(rows, item)
+        filter_unknown(rows, item, [unknown])
         .groupBy(*by, item)
         .agg(
             F.count(F.lit(1)).alias("times"),
@@ -25,17 +27,19 @@ def _times(df: DataFrame, column: str, item: str, by: Sequence[str]) -> DataFram
 
 def times_mentioned(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Occurrences of each user id over all mention lists."""
-    return _times(df, "mentioned_list", "user_id", by)
+    return _times(df, "mentioned_list", "user_id", NO_ID, by)
 
 
 def times_quoted(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Occurrences of each user name over all quote lists."""
-    return _times(df, "quoted_list", "user_name", by)
+    return _times(df, "quoted_list", "user_name", NO_NAME, by)
 
 
-def _posts_with(df: DataFrame, column: str, by: Sequence[str]) -> DataFrame:
+def _posts_with(
+    df: DataFrame, column: str, unknown: Sequence[str], by: Sequence[str]
+) -> DataFrame:
     return (
-        filter_unknown(df.filter(F.col(column) > 0), "author")
+        filter_unknown(df.filter(F.col(column) > 0), "author", unknown)
         .groupBy(*by, "author")
         .agg(
             F.count(F.lit(1)).alias("messages"),
@@ -46,17 +50,17 @@ def _posts_with(df: DataFrame, column: str, by: Sequence[str]) -> DataFrame:
 
 def messages_with_mention_by_author(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Posts with at least one mention, of authors who have such posts."""
-    return _posts_with(df, "mentions_count", by)
+    return _posts_with(df, "mentions_count", [NO_ID, NO_NAME], by)
 
 
 def messages_with_quote_by_author(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Posts with at least one quote, of authors who have such posts."""
-    return _posts_with(df, "quote_count", by)
+    return _posts_with(df, "quote_count", [NO_NAME], by)
 
 
 def author_names(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Name of every author id as given in its first post; nobody has no name."""
-    known = df.filter(F.col("author_id") != "0")
+    known = df.filter(F.col("author_id") != NO_ID)
     # Pairs first: that is a hash aggregate with a number in its buffer. Picking a
     # string directly would sort all posts; now only the few pairs are sorted.
     pairs = known.groupBy(*by, "author_id", "author").agg(

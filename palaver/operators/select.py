@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame
@@ -9,7 +10,9 @@ from pyspark.sql import functions as F
 
 from palaver.functions.paging import page_of_post
 
-UNKNOWN = ("0", "")  # fixed value: ids and names standing for nobody
+# Fixed values standing for nobody: an id and a name.
+NO_ID = "0"
+NO_NAME = ""
 
 
 def check_one_range(pages: range | None, posts: range | None) -> None:
@@ -100,9 +103,11 @@ def having_min_messages(stats: DataFrame, n: int = 50) -> DataFrame:
     return stats.filter(F.col("messages") >= n)
 
 
-def filter_unknown(df: DataFrame, column: str) -> DataFrame:
+def filter_unknown(
+    df: DataFrame, column: str, unknown: Sequence[str] = (NO_ID, NO_NAME)
+) -> DataFrame:
     """Drop the placeholders for nobody; NULL goes with them."""
-    return df.filter(~F.col(column).isin(*UNKNOWN))
+    return df.filter(~F.col(column).isin(*unknown))
 
 
 def _instant(seconds: float) -> Column:

@@ -19,6 +19,8 @@ VOID_TAGS = frozenset(
 # Text inside these belongs to no surrounding text.
 HIDDEN_TAGS = frozenset("script style template rt rp".split())
 NOISE_TAGS = frozenset("script table blockquote button".split())
+BLANKS = " \n\t\f\r"
+BLANK_KEEPING_TAGS = ("pre", "textarea")
 MEDIA_NOTE = "Ansehen auf"
 EMOJI_TEXT = "."
 # ----------------------------------------------------------------------------
@@ -30,7 +32,7 @@ class Node:
     def __init__(self, tag, attrs, text):
         self.tag = tag
         self.attrs = attrs
-        self.classes = (attrs.get("class") or "").split() if attrs else ()
+        self.classes = attrs["class"].split() if attrs and "class" in attrs else ()
         self.text = text
         self.end = 0
 
@@ -40,7 +42,8 @@ class Node:
 
 class PageNodes(HTMLParser):
     """Builds the node list. An end tag closes the nearest open tag of its name;
-    without one it is ignored. Void tags never stay open."""
+    without one it is ignored. Void tags never stay open. Text that is all blanks
+    shrinks to one line break, or else to one blank."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -48,12 +51,15 @@ class PageNodes(HTMLParser):
         self._open = []
         self._counts = {}
         self._hidden = 0
+        self._text = []
 
     def updatepos(self, i, j):
         return j  # nobody asks for line numbers; counting them takes time
 
     def handle_starttag(self, tag, attrs):
-        self.nodes.append(Node(tag, dict(attrs), None))
+        self._end_text()
+        # An attribute without a value is there, and empty.
+        self.nodes.append(Node(tag, {k: v or "" for k, v in attrs}, None))
         if tag in VOID_TAGS:
             self.nodes[-1].end = len(self.nodes)
             return
@@ -67,14 +73,30 @@ class PageNodes(HTMLParser):
             self._close_last()
 
     def handle_endtag(self, tag):
+        self._end_text()
         if self._counts.get(tag):
             while self._close_last() != tag:
                 pass
 
     def handle_data(self, data):
-        if not self._hidden:
-            self.nodes.append(Node(None, None, data))
-            self.nodes[-1].end = len(self.nodes)
+        self._text.append(data)
+
+    def handle_comment(self, data):
+        self._end_text()
+
+    handle_decl = handle_pi = unknown_decl = handle_comment
+
+    def _end_text(self):
+        if not self._text:
+            return
+        text = "".join(self._text)
+        self._text.clear()
+        if self._hidden:
+            return
+        if not text.strip(BLANKS) and not any(map(self._counts.get, BLANK_KEEPING_TAGS)):
+            text = "\n" if "\n" in text else " "
+        self.nodes.append(Node(None, None, text))
+        self.nodes[-1].end = len(self.nodes)
 
     def _close_last(self):
         node = self.nodes[self._open.pop()]
@@ -86,6 +108,7 @@ class PageNodes(HTMLParser):
     def finish(self, html):
         self.feed(html)
         self.close()
+        self._end_text()
         while self._open:
             self._close_last()
         return self.nodes

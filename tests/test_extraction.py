@@ -152,6 +152,13 @@ def test_unclosed_and_stray_tags(spark):
     assert {r.post_id for r in rows} == {"7", "8"}
 
 
+def test_blank_text_and_empty_attributes(spark):
+    body = "a<b>  \t </b>c<i> \n  </i>d<pre>   </pre>e&nbsp;<u> </u>f<!-- -->  <!-- -->g"
+    assert read(spark, body).content == "a c\nd   e\xa0 f g"
+    row = read(spark, "1 < 2", user="<a class='username' data-user-id>Ann</a>")
+    assert row.author_id == "" and row.content == "1 < 2"
+
+
 def test_class_is_matched_by_token(spark):
     page = post() + '<article class="message-body"></article><article></article>'
     assert extract_posts(frame(spark, page)).count() == 1

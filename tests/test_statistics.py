@@ -233,6 +233,18 @@ def test_references(posts):
         assert got == ranked(counts)[:5]
 
 
+def test_nobody(spark):
+    """A user may be called 0, and an empty id is not the id of nobody."""
+    rows = [("0", ["", "0", "x"], ["", "0"]), ("", ["x"], ["7"])]
+    df = spark.createDataFrame(
+        rows, "author string, quoted_list array<string>, mentioned_list array<string>"
+    ).withColumns({"post_num": F.lit(1), "quote_count": F.lit(1), "mentions_count": F.lit(1)})
+    assert {r.user_name for r in R.times_quoted(df).collect()} == {"0", "x"}
+    assert {r.user_id for r in R.times_mentioned(df).collect()} == {"", "7"}
+    assert R.messages_with_mention_by_author(df).count() == 0
+    assert [r.author for r in R.messages_with_quote_by_author(df).collect()] == ["0"]
+
+
 def test_names_of_nobody(spark, posts):
     ids = spark.createDataFrame([("0",), ("11",), ("77",)], "user_id string")
     got = {r.user_id: r.name for r in R.lookup_author_name(ids, posts).collect()}

@@ -124,20 +124,27 @@ def references(features: DataFrame, languages: list[str]) -> dict[str, tuple[lis
     return {k: v for k, v in sorted(found.items()) if sum(v[0]) and sum(v[1])}
 
 
-def js_distance(counts: Column, total: Column, reference: list[int]) -> Column:
-    """Jensen-Shannon distance, base 2, of a histogram with this sum from a reference; null for an empty histogram."""
-    whole = float(sum(reference))
+def js_distance(counts: Column, total: Column, reference: Column) -> Column:
+    """Jensen-Shannon distance, base 2, of a histogram with this sum from a reference of shares."""
+    part = lambda x, m: F.when(x > 0, x * F.log2(x / m)).otherwise(0.0)
 
-    def term(i: int, r: int) -> Column:
-        q = r / whole
-        p = F.get(counts, F.lit(i)) / total
-        part = lambda x: F.when(x > 0, x * F.log2(x / ((p + q) / 2))).otherwise(0.0)
-        return part(p) + part(F.lit(q))
+    def term(c: Column, q: Column) -> Column:
+        p = c / total
+        return part(p, (p + q) / 2) + part(q, (p + q) / 2)
 
-    terms = [term(i, r) for i, r in enumerate(reference)]
+    summed = F.aggregate(F.zip_with(counts, reference, term), F.lit(0.0), lambda a, x: a + x)
     # Rounding may leave a tiny negative sum for equal histograms.
-    summed = reduce(lambda a, b: a + b, terms)
-    return F.when(total > 0, F.sqrt(F.greatest(summed / 2, F.lit(0.0))))
+    return F.sqrt(F.greatest(summed / 2, F.lit(0.0)))
+
+
+def nearest_distance(counts: Column, total: Column, known: dict[str, list[int]]) -> Column:
+    """Distance from the own language's reference, or the least of all; null for an empty histogram."""
+    if not known:
+        return F.lit(None).cast("double")
+    shares = {lang: F.array(*[F.lit(x / sum(ref)) for x in ref]) for lang, ref in known.items()}
+    own = reduce(lambda c, x: c.when(F.col("lang") == x[0], F.array(x[1])), shares.items(), F)
+    refs = own.otherwise(F.array(*shares.values()))
+    return F.when(total > 0, F.array_min(F.transform(refs, lambda r: js_distance(counts, total, r))))
 
 
 def quality(
@@ -158,20 +165,13 @@ def quality(
     )
     known = references(features, languages or list(COMMON_WORDS))
 
-    def distance(name: str, total: str, k: int) -> Column:
-        each = {lang: js_distance(F.col(name), F.col(total), ref[k]) for lang, ref in known.items()}
-        if not each:
-            return F.lit(None).cast("double")
-        own = reduce(lambda c, x: c.when(F.col("lang") == x[0], x[1]), each.items(), F)
-        return own.otherwise(F.least(*each.values()) if len(each) > 1 else next(iter(each.values())))
-
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     far = ((F.col("n_chars") >= min_chars) & (F.col("class_distance") > max_class_distance)) | (
         (F.col("n_words") >= min_words) & (F.col("word_distance") > max_word_distance)
     )
     return (
-        features.withColumn("class_distance", distance("classes", "n_chars", 0))
-        .withColumn("word_distance", distance("common", "n_words", 1))
+        features.withColumn("class_distance", nearest_distance(F.col("classes"), F.col("n_chars"), {k: v[0] for k, v in known.items()}))
+        .withColumn("word_distance", nearest_distance(F.col("common"), F.col("n_words"), {k: v[1] for k, v in known.items()}))
         .withColumn("base_failed", base)
         .withColumn("kept", ~F.col("base_failed") & ~F.coalesce(far, F.lit(False)))
         .select("doc_id", "text_md5", *counts, "base_failed", "class_distance", "word_distance", "kept")

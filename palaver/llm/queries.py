@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from palaver.llm import chat_format, line_windows, mix_queries, quality_queries
+from palaver.llm import chat_format, count_vector_join, line_windows, mix_queries, quality_queries
 from palaver.llm.best_fit import pack, pieces
 from palaver.llm.common import stored, table
 from palaver.llm.token_counts import token_counts
@@ -25,6 +25,10 @@ def op6_token_counts(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op7_count_vector_join(spark, sf_dir):
+    return count_vector_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_line_windows(spark, sf_dir):
     return line_windows.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
 
@@ -35,6 +39,7 @@ QUERIES = {
     "op3_chat_format": op3_chat_format,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op6_token_counts": op6_token_counts,
+    "op7_count_vector_join": op7_count_vector_join,
     "op8_line_windows": op8_line_windows,
 }
 
@@ -43,5 +48,6 @@ ORACLES = {
     "op1_quality_divergence": quality_queries.ORACLE,
     "op2_source_mix": mix_queries.ORACLE,
     "op3_chat_format": chat_format.ORACLE,
+    "op7_count_vector_join": count_vector_join.ORACLE,
     "op8_line_windows": line_windows.ORACLE,
 }

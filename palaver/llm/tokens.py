@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-from functools import lru_cache
 
 
 def tokenizer_path(name: str) -> str:
@@ -15,13 +14,16 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-@lru_cache(maxsize=4)
 def tokenizer(name: str):
     """The ``tokenizers`` object of a vocabulary file, without truncation or padding."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark owns the cores
-    from tokenizers import Tokenizer
-
-    loaded = Tokenizer.from_file(tokenizer_path(name))
-    loaded.no_truncation()
-    loaded.no_padding()
-    return loaded
+    import tokenizers
+
+    # This module travels with each task, so the worker's instances are held by the library's.
+    loaded = tokenizers.__dict__.setdefault("_by_file", {})
+    if name not in loaded:
+        tok = tokenizers.Tokenizer.from_file(tokenizer_path(name))
+        tok.no_truncation()
+        tok.no_padding()
+        loaded[name] = tok
+    return loaded[name]

@@ -34,41 +34,80 @@ from palaver.llm.components import components
 
 SHINGLE_WORDS = 5
 MIN_PERCENT = 75
-GROUP_BITS = 6
+#: Shingles in a group, on average; groups are 2^bits.
+GROUP_MEAN, MIN_BITS, MAX_BITS = 8, 4, 14
 #: The most frequent shingles, ordered last: at most this many (hash, count) pairs go to the driver and to tasks.
 FREQUENT = 65_536
 FREQUENT_IN_CHUNK = 16
 CHUNK_HASHES = 1_000_000
 LEAF = 32
 
-_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-KNOWN_WORDS = 300_000
+PIECE_BYTES = 1 << 20
+_ODD = 0x9E3779B97F4A7C15
 
 
-def shingle_set(text: str | None, size: int = SHINGLE_WORDS, known: dict[bytes, int] | None = None):
-    """Sorted distinct 64-bit hashes of a text's word shingles; ``known`` remembers hashes of words."""
-    import numpy as np
-    from xxhash import xxh3_64_intdigest
-
-    # bytes.split() takes exactly the six separators.
-    words = (text or "").encode().translate(_LOWER).split()
-    if not words:
-        return np.empty(0, "u8")
-    known = {} if known is None else known
-    if len(known) > KNOWN_WORDS:
-        known.clear()
-    for w in set(words):
-        if w not in known:
-            known[w] = xxh3_64_intdigest(w)
-    hashed = np.fromiter((known[w] for w in words), "u8", len(words))
-    width = min(size, len(words))
-    acc = np.full(len(words) - width + 1, width, "u8")
-    for k in range(width):
-        acc = acc * np.uint64(0x9E3779B97F4A7C15) + hashed[k : k + len(acc)]
-    acc ^= acc >> np.uint64(31)
-    acc *= np.uint64(0xBF58476D1CE4E5B9)
-    acc ^= acc >> np.uint64(29)
-    return np.unique(acc)
+class Shingler:
+    """Sorted distinct 64-bit hashes of a text's word shingles, by whole arrays.
+
+    A word's hash is a sum of random numbers for its bytes times powers of an odd
+    number; sums over words come from one running sum over the text.
+    """
+
+    def __init__(self, size: int = SHINGLE_WORDS):
+        import numpy as np
+
+        self.np, self.size = np, size
+        self.values = np.random.default_rng(5).integers(1, 1 << 63, 256, dtype="u8") * np.uint64(2) + np.uint64(1)
+        self.values[65:91] = self.values[97:123]  # A-Z as a-z
+        self.gap = np.zeros(256, bool)
+        self.gap[[32, 9, 10, 11, 12, 13]] = True
+        self._grow(1 << 16)
+
+    def _grow(self, n: int) -> None:
+        def powers(x: int):
+            out = self.np.full(n + 1, x, "u8")
+            out[0] = 1
+            return self.np.multiply.accumulate(out)
+
+        self.powers, self.inverses = powers(_ODD), powers(pow(_ODD, -1, 1 << 64))
+
+    def _words(self, text: bytes):
+        np = self.np
+        data = np.frombuffer(text, "u1")
+        if len(data) >= len(self.powers):
+            self._grow(2 * len(data))
+        solid = np.zeros(len(data) + 2, "i1")
+        solid[1:-1] = ~self.gap[data]
+        edges = np.flatnonzero(np.diff(solid))
+        starts, ends = edges[::2], edges[1::2]
+        sums = np.zeros(len(data) + 1, "u8")
+        np.cumsum(self.values[data] * self.powers[: len(data)], out=sums[1:])
+        hashed = (sums[ends] - sums[starts]) * self.inverses[starts]
+        hashed ^= hashed >> np.uint64(32)
+        hashed *= np.uint64(0xD6E8FEB86659FD93)
+        return hashed ^ (hashed >> np.uint64(29))
+
+    def __call__(self, text: str | None):
+        np = self.np
+        data = (text or "").encode()
+        parts, at = [], 0
+        while at < len(data):  # pieces end at blanks, so no word is cut
+            end = at + PIECE_BYTES
+            while end < len(data) and not self.gap[data[end]]:
+                end += 1
+            parts.append(self._words(data[at:end]))
+            at = end
+        words = np.concatenate(parts) if parts else np.empty(0, "u8")
+        if not len(words):
+            return words
+        width = min(self.size, len(words))
+        acc = np.full(len(words) - width + 1, width, "u8")
+        for k in range(width):
+            acc = acc * np.uint64(_ODD) + words[k : k + len(acc)]
+        acc ^= acc >> np.uint64(31)
+        acc *= np.uint64(0xBF58476D1CE4E5B9)
+        acc ^= acc >> np.uint64(29)
+        return np.unique(acc)
 
 
 def _digest(hashes) -> bytes:
@@ -77,11 +116,22 @@ def _digest(hashes) -> bytes:
     return blake2b(hashes.tobytes(), digest_size=16).digest()
 
 
+def group_bits(n: int) -> int:
+    """Groups grow with the set, about eight shingles each: with fewer, chance alone would hide what differs."""
+    return min(max((max(n, 1) // GROUP_MEAN).bit_length(), MIN_BITS), MAX_BITS)
+
+
 def count_vector(hashes):
     """The set's point: its shingles in each group of hashes."""
     import numpy as np
 
-    return np.bincount((hashes >> np.uint64(64 - GROUP_BITS)).astype("i8"), minlength=1 << GROUP_BITS).astype("<u4")
+    bits = group_bits(len(hashes))
+    return np.bincount((hashes >> np.uint64(64 - bits)).astype("i8"), minlength=1 << bits).astype("<u4")
+
+
+def folded(point, groups: int):
+    """The same point over fewer groups: neighbours added up."""
+    return point if len(point) == groups else point.reshape(groups, -1).sum(1)
 
 
 def needed(n: int, percent: int) -> int:
@@ -98,7 +148,7 @@ def _signatures(docs: DataFrame, size: int) -> DataFrame:
 
         names = ["doc_id", "n", "digest", "c", "hash", "count"]
         types = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-        held, total, known = [], 0, {}
+        held, total, shingled = [], 0, Shingler(size)
 
         def frequent():
             if not held:
@@ -112,7 +162,7 @@ def _signatures(docs: DataFrame, size: int) -> DataFrame:
         for batch in batches:
             rows = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                hashes = shingle_set(text, size, known)
+                hashes = shingled(text)
                 digest = _digest(hashes) if len(hashes) else None
                 rows.append((key, len(hashes), digest, int.from_bytes(digest[:8], "little", signed=True) if digest else None, None, None))
                 held.append(hashes)
@@ -141,11 +191,11 @@ def _postings(docs: DataFrame, size: int, percent: int, frequent: list[tuple[int
         import pyarrow as pa
 
         seen: set[bytes] = set()
-        known: dict[bytes, int] = {}
+        shingled = Shingler(size)
         for batch in batches:
             shingles, owners = [], []
             for text in batch.column(0).to_pylist():
-                hashes = shingle_set(text, size, known)
+                hashes = shingled(text)
                 if not len(hashes):
                     continue
                 digest = _digest(hashes)
@@ -175,11 +225,11 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     def made(batches):
         import pyarrow as pa
 
-        known: dict[bytes, int] = {}
+        shingled = Shingler(size)
         for batch in batches:
             out = []
             for rep, c, digest, text in zip(*[col.to_pylist() for col in batch.columns]):
-                hashes = shingle_set(text, size, known)
+                hashes = shingled(text)
                 if len(hashes) and _digest(hashes) == digest:  # an id may stand for several texts
                     out.append((rep, c, len(hashes), count_vector(hashes).tobytes(), hashes.tobytes()))
             types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
@@ -205,10 +255,12 @@ def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             a, b, n_a, n_b = (batch.column(k).to_numpy() for k in range(4))
-            x, y = (
-                np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u4").reshape(batch.num_rows, -1) for k in (4, 5)
-            )
-            good = _enough(np.minimum(x, y).sum(1, dtype="i8"), n_a, n_b, percent)
+            least = []
+            for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist()):
+                x, y = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
+                groups = min(len(x), len(y))
+                least.append(int(np.minimum(folded(x, groups), folded(y, groups)).sum()))
+            good = _enough(np.array(least, "i8"), n_a, n_b, percent)
             yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good])], ["a", "b"])
 
     joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "vec_a", "vec_b")
@@ -284,7 +336,7 @@ class CountTree:
 
 
 def _tree_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components within each bucket, by trees; rows (shingle, id, comp, lead, n, vec)."""
+    """Pairs of different components within each bucket, by trees; rows (bucket, id, comp, lead, n, vec)."""
 
     def found(batches):
         import numpy as np
@@ -292,19 +344,27 @@ def _tree_pairs(rows: DataFrame, percent: int) -> DataFrame:
 
         seen: set[tuple[int, int]] = set()
 
-        def joined(shingle, ids, comp, lead, n, vec):
+        def joined(bucket, ids, comp, lead, n, vec):
             if len(ids) < 2:
                 return []
-            points = np.frombuffer(b"".join(vec), "<u4").reshape(len(ids), -1)
             out = []
-            for i, j in CountTree(points, n).pairs(percent):
-                # Pairs with the leader have been looked at before.
-                open_ = (comp[i] != comp[j]) & ~lead[i] & ~lead[j]
-                for x, y in zip(ids[i[open_]].tolist(), ids[j[open_]].tolist()):
-                    pair = (min(x, y), max(x, y))
-                    if pair not in seen:
-                        seen.add(pair)
-                        out.append(pair)
+            points = [np.frombuffer(v, "<u4") for v in vec]
+            groups = np.array([len(p) for p in points])
+            for width in np.unique(groups).tolist():
+                # Partners have as many groups, or twice as many: their sizes differ by less than a factor of two.
+                rows = np.flatnonzero((groups == width) | (groups == 2 * width))
+                if len(rows) < 2:
+                    continue
+                tree = CountTree(np.stack([folded(points[k], width) for k in rows]), n[rows])
+                for i, j in tree.pairs(percent):
+                    i, j = rows[i], rows[j]
+                    # Pairs with the leader have been looked at before.
+                    open_ = (comp[i] != comp[j]) & ~lead[i] & ~lead[j] & (np.minimum(groups[i], groups[j]) == width)
+                    for x, y in zip(ids[i[open_]].tolist(), ids[j[open_]].tolist()):
+                        pair = (min(x, y), max(x, y))
+                        if pair not in seen:
+                            seen.add(pair)
+                            out.append(pair)
             if len(seen) > 1_000_000:
                 seen.clear()
             return out
@@ -314,10 +374,10 @@ def _tree_pairs(rows: DataFrame, percent: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            shingle = held.column("shingle").to_numpy()
-            if shingle[0] == shingle[-1]:
+            bucket = held.column("bucket").to_numpy()
+            if bucket[0] == bucket[-1]:
                 continue  # one bucket so far: wait for its end
-            last = int(np.searchsorted(shingle, shingle[-1]))
+            last = int(np.searchsorted(bucket, bucket[-1]))
             yield from emitted(held.slice(0, last), joined)
             held = held.slice(last)
         if held is not None:
@@ -327,17 +387,17 @@ def _tree_pairs(rows: DataFrame, percent: int) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        shingle = rows.column("shingle").to_numpy()
+        bucket = rows.column("bucket").to_numpy()
         ids, comp, n = (rows.column(k).to_numpy() for k in ("id", "comp", "n"))
         lead, vec = rows.column("lead").to_numpy(), rows.column("vec").to_pylist()
-        cuts = [0, *(np.flatnonzero(np.diff(shingle)) + 1).tolist(), len(shingle)]
+        cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
         out = []
         for s, e in zip(cuts, cuts[1:]):
-            out += joined(shingle[s], ids[s:e], comp[s:e], lead[s:e], n[s:e], vec[s:e])
+            out += joined(bucket[s], ids[s:e], comp[s:e], lead[s:e], n[s:e], vec[s:e])
         columns = list(zip(*out)) or [[], []]
         yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], ["a", "b"])
 
-    dealt = rows.select("shingle", "id", "comp", "lead", "n", "vec").repartition("shingle").sortWithinPartitions("shingle")
+    dealt = rows.select("bucket", "id", "comp", "lead", "n", "vec").repartition("bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(found, "a long, b long").distinct()
 
 
@@ -354,12 +414,14 @@ def near_duplicates(
         sigs.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("c").alias("c")).where("rep is not null"),
         "classes",
     )
-    bucket = "over (partition by shingle)"
+    # Texts that share a passage share many shingles: buckets with the same classes become one.
+    of_shingle, of_bucket = "over (partition by shingle)", "over (partition by bucket)"
+    same = f"xxhash64(bit_xor(xxhash64(c)) {of_shingle}, sum(c & 2147483647) {of_shingle}, count(*) {of_shingle})"
     shared = stored(
         _postings(docs, shingle_words, min_percent, last)
-        .selectExpr("shingle", "c", f"min(c) {bucket} as leader", f"max(c) {bucket} as last")
+        .selectExpr("c", f"min(c) {of_shingle} as leader", f"max(c) {of_shingle} as last", f"{same} as bucket")
         .where("leader < last")
-        .select("shingle", "c", "leader")
+        .select("bucket", "c", "leader")
         .distinct(),
         "buckets",
     )
@@ -379,7 +441,9 @@ def near_duplicates(
         points.select("id", "c").join(joined, "id", "left").select("id", "c", F.coalesce("component", "id").alias("comp")), "labels"
     )
     rows = shared.join(comp, "c").withColumn("lead", F.col("c") == F.col("leader"))
-    rows = rows.selectExpr("shingle", "id", "comp", "lead", f"min(comp) {bucket} as lo", f"max(comp) {bucket} as hi").where("lo < hi")
+    rows = rows.selectExpr(
+        "bucket", "id", "comp", "lead", f"min(comp) {of_bucket} as lo", f"max(comp) {of_bucket} as hi"
+    ).where("lo < hi")
     rows = rows.join(points.select("id", "n", "vec"), "id")
     more = _verified(_tree_pairs(rows, min_percent), sets, min_percent)
     final = components(links.union(more))

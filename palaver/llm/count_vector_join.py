@@ -18,8 +18,8 @@ components only. A link left out lies within a component already found.
 
 Defined cases: null text and texts without words have an empty set and link with
 nothing; fewer words than a shingle are one shingle; rows that repeat are copies;
-a null doc_id joins its class but never names it (then its component is null if
-the class has no other id); an empty table gives no rows; other columns are not looked at.
+rows with one doc_id and several texts are one document, linked by any of them; a
+null doc_id takes the component of a set like its own, or null; an empty table gives no rows; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -41,6 +41,7 @@ FREQUENT = 65_536
 FREQUENT_IN_CHUNK = 16
 CHUNK_HASHES = 1_000_000
 LEAF = 32
+ID_BITS = 20
 
 PIECE_BYTES = 1 << 20
 _ODD = 0x9E3779B97F4A7C15
@@ -140,14 +141,14 @@ def needed(n: int, percent: int) -> int:
 
 
 def _signatures(docs: DataFrame, size: int) -> DataFrame:
-    """A row for each text (doc_id, n, digest, c) and, with ``hash`` set, rows of shingles that are frequent in a chunk."""
+    """A row for each text (doc_id, n, digest, c, vec) and, with ``hash`` set, rows of shingles that are frequent in a chunk."""
 
     def signed(batches):
         import numpy as np
         import pyarrow as pa
 
-        names = ["doc_id", "n", "digest", "c", "hash", "count"]
-        types = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+        names = ["doc_id", "n", "digest", "c", "vec", "hash", "count"]
+        types = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
         held, total, shingled = [], 0, Shingler(size)
 
         def frequent():
@@ -156,7 +157,7 @@ def _signatures(docs: DataFrame, size: int) -> DataFrame:
             hashes, counts = np.unique(np.concatenate(held), return_counts=True)
             often = counts >= FREQUENT_IN_CHUNK
             n = int(often.sum())
-            columns = [pa.nulls(n, t) for t in types[:4]] + [pa.array(hashes[often].astype("i8")), pa.array(counts[often])]
+            columns = [pa.nulls(n, t) for t in types[:5]] + [pa.array(hashes[often].astype("i8")), pa.array(counts[often])]
             return pa.RecordBatch.from_arrays(columns, names)
 
         for batch in batches:
@@ -164,7 +165,8 @@ def _signatures(docs: DataFrame, size: int) -> DataFrame:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 hashes = shingled(text)
                 digest = _digest(hashes) if len(hashes) else None
-                rows.append((key, len(hashes), digest, int.from_bytes(digest[:8], "little", signed=True) if digest else None, None, None))
+                c = int.from_bytes(digest[:8], "little", signed=True) if digest else None
+                rows.append((key, len(hashes), digest, c, count_vector(hashes).tobytes() if digest else None, None, None))
                 held.append(hashes)
                 total += len(hashes)
                 if total >= CHUNK_HASHES:
@@ -174,7 +176,7 @@ def _signatures(docs: DataFrame, size: int) -> DataFrame:
         if held:
             yield frequent()
 
-    schema = "doc_id long, n long, digest binary, c long, hash long, count long"
+    schema = "doc_id long, n long, digest binary, c long, vec binary, hash long, count long"
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(signed, schema)
 
 
@@ -218,27 +220,6 @@ def _postings(docs: DataFrame, size: int, percent: int, frequent: list[tuple[int
     return docs.select("text").mapInArrow(posted, "shingle long, c long")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(id, c, n, vec, hashes) of the class representatives in ``wanted`` (rep, digest, c)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted, "rep").select("rep", "c", "digest", "text")
-
-    def made(batches):
-        import pyarrow as pa
-
-        shingled = Shingler(size)
-        for batch in batches:
-            out = []
-            for rep, c, digest, text in zip(*[col.to_pylist() for col in batch.columns]):
-                hashes = shingled(text)
-                if len(hashes) and _digest(hashes) == digest:  # an id may stand for several texts
-                    out.append((rep, c, len(hashes), count_vector(hashes).tobytes(), hashes.tobytes()))
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-            columns = list(zip(*out)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(columns, types)], ["id", "c", "n", "vec", "hashes"])
-
-    return rows.mapInArrow(made, "id long, c long, n long, vec binary, hashes binary")
-
-
 def _enough(shared, n_a, n_b, percent: int):
     return 100 * shared >= percent * (n_a + n_b - shared)
 
@@ -267,25 +248,42 @@ def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(kept, "a long, b long")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
-    side = lambda x: sets.select(F.col("id").alias(x), F.col("hashes").alias(f"set_{x}"))
+def _texts_of(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, text) of the documents in ``pairs``, and of few others.
+
+    Ids are cut to ``ID_BITS`` bits, so what is broadcast has a fixed bound; it
+    only spares texts the way to a join that decides exactly.
+    """
+    cut = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << ID_BITS)).alias("_cut")
+    cuts = pairs.select(cut(F.col("a"))).union(pairs.select(cut(F.col("b")))).distinct()
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").withColumn("_cut", cut(F.col("id")))
+    return rows.join(F.broadcast(cuts), "_cut", "left_semi").select("id", "text")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough, computed anew from their texts."""
+    pairs = stored(pairs, "pairs")
+    texts = _texts_of(pairs, docs)
+    side = lambda x: texts.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}"))
 
     def kept(batches):
         import numpy as np
         import pyarrow as pa
 
+        shingled, last, x = Shingler(size), None, None
         for batch in batches:
             out = []
-            for a, b, x, y in zip(*[c.to_pylist() for c in batch.columns]):
-                x, y = np.frombuffer(x, "u8"), np.frombuffer(y, "u8")
-                if _enough(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), percent):
+            for a, b, text_a, text_b in zip(*[c.to_pylist() for c in batch.columns]):
+                if (a, text_a) != last:
+                    last, x = (a, text_a), shingled(text_a)
+                y = shingled(text_b)
+                if len(x) and len(y) and _enough(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), percent):
                     out.append((a, b))
             columns = list(zip(*out)) or [[], []]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], ["a", "b"])
 
-    # The many go first: each carries its own set to its leader's.
-    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "set_a", "set_b").mapInArrow(kept, "a long, b long")
+    # The many go first: each carries its own text to its leader's.
+    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(kept, "a long, b long")
 
 
 class CountTree:
@@ -410,10 +408,9 @@ def near_duplicates(
     last = [(r[0], r[1]) for r in often.orderBy(F.desc("n"), "hash").limit(frequent).collect()]
     sigs = signed.where("hash is null")
     # Copies of one set meet as one row for each task.
-    classes = stored(
-        sigs.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("c").alias("c")).where("rep is not null"),
-        "classes",
-    )
+    rep = F.min(F.struct("doc_id", "c", "n", "vec")).alias("rep")
+    named = sigs.where("n > 0 and doc_id is not null").groupBy("digest").agg(rep)
+    classes = stored(named.select("digest", F.col("rep.doc_id").alias("id"), "rep.c", "rep.n", "rep.vec"), "classes")
     # Texts that share a passage share many shingles: buckets with the same classes become one.
     of_shingle, of_bucket = "over (partition by shingle)", "over (partition by bucket)"
     same = f"xxhash64(bit_xor(xxhash64(c)) {of_shingle}, sum(c & 2147483647) {of_shingle}, count(*) {of_shingle})"
@@ -425,15 +422,13 @@ def near_duplicates(
         .distinct(),
         "buckets",
     )
-    wanted = classes.join(shared.select("c").distinct(), "c")
-    sets = stored(_sets(docs, wanted.select("rep", "c", "digest"), shingle_words), "sets")
-    points = sets.select("id", "c", "n", "vec")
+    points = classes.select("id", "c", "n", "vec")
 
     # Each class against the leaders of its buckets.
     stars = shared.where("c <> leader").select("c", "leader").distinct()
-    of = lambda name: sets.select(F.col("c").alias(name), F.col("id").alias(f"{name}_id"))
+    of = lambda name: classes.select(F.col("c").alias(name), F.col("id").alias(f"{name}_id"))
     stars = stars.join(of("c"), "c").join(of("leader"), "leader").select(F.col("leader_id").alias("a"), F.col("c_id").alias("b"))
-    links = stored(_verified(_bounded(stars, points, min_percent), sets, min_percent), "links")
+    links = stored(_verified(_bounded(stars, points, min_percent), docs, shingle_words, min_percent), "links")
     joined = components(links)
 
     # Pairs of components that meet in a bucket.
@@ -445,10 +440,10 @@ def near_duplicates(
         "bucket", "id", "comp", "lead", f"min(comp) {of_bucket} as lo", f"max(comp) {of_bucket} as hi"
     ).where("lo < hi")
     rows = rows.join(points.select("id", "n", "vec"), "id")
-    more = _verified(_tree_pairs(rows, min_percent), sets, min_percent)
+    more = _verified(_tree_pairs(rows, min_percent), docs, shingle_words, min_percent)
     final = components(links.union(more))
 
-    named = classes.join(final, F.col("rep") == F.col("id"), "left").select("digest", F.coalesce("component", "rep").alias("comp"))
+    named = classes.join(final, "id", "left").select("digest", F.coalesce("component", "id").alias("comp"))
     return sigs.join(named, "digest", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("comp")).otherwise(F.col("doc_id")).alias("component_id")
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from palaver.llm import chat_format, count_vector_join, line_windows, mix_queries, quality_queries
+from palaver.llm import chat_format, count_vector_join, line_windows, link_graph, mix_queries, permutation_index, quality_queries, toxicity
 from palaver.llm.best_fit import pack, pieces
 from palaver.llm.common import stored, table
 from palaver.llm.token_counts import token_counts
@@ -21,6 +21,10 @@ def op4_best_fit_packing(spark, sf_dir):
     return pack(stored(pieces(table(spark, sf_dir, "documents")), "pieces"))
 
 
+def op5_permutation_index(spark, sf_dir):
+    return permutation_index.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 def op6_token_counts(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents"))
 
@@ -33,21 +37,35 @@ def op8_line_windows(spark, sf_dir):
     return line_windows.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op9_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op10_link_graph(spark, sf_dir):
+    return link_graph.judge(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_quality_divergence": quality_queries.op1_quality_divergence,
     "op2_source_mix": mix_queries.op2_source_mix,
     "op3_chat_format": op3_chat_format,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_permutation_index": op5_permutation_index,
     "op6_token_counts": op6_token_counts,
     "op7_count_vector_join": op7_count_vector_join,
     "op8_line_windows": op8_line_windows,
+    "op9_toxicity": op9_toxicity,
+    "op10_link_graph": op10_link_graph,
 }
 
-# op4 and op6 hang on tokenizers: tests hold them against the library.
+# op4 and op6 hang on tokenizers, op5 and op9 are approximate and learnt: tests
+# hold them against the library, brute force and held-out labels.
 ORACLES = {
     "op1_quality_divergence": quality_queries.ORACLE,
     "op2_source_mix": mix_queries.ORACLE,
     "op3_chat_format": chat_format.ORACLE,
     "op7_count_vector_join": count_vector_join.ORACLE,
     "op8_line_windows": line_windows.ORACLE,
+    "op10_link_graph": link_graph.ORACLE,
 }

@@ -26,7 +26,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palaver.llm.common import SEPARATORS, WORD, ranked, stored, word_count
+from palaver.llm.common import SEPARATORS, WORD, let, ranked, stored, word_count
 
 WEIGHTS = (5, 2, 1)
 SHARE_PERCENT = 150
@@ -229,14 +229,14 @@ def mixed_texts(docs: DataFrame, mixed: DataFrame, block_words: int = BLOCK_WORD
     first, last = F.floor(start / block_words), F.floor((end - 1) / block_words)
     words = F.regexp_extract_all("text", F.lit(f"{SEPARATORS[:-1]}*{WORD}"), F.lit(0))
     chosen = F.filter(F.sequence(first, last), lambda b: _before(b + 1) > _before(b))
-    cut = lambda b: F.slice(
-        F.col("_words"),
+    cut = lambda w, b: F.slice(
+        w,
         (F.greatest(b * block_words, F.col("start")) - F.col("start") + 1).cast("int"),
         (F.least((b + 1) * block_words, F.col("start") + F.col("size")) - F.greatest(b * block_words, F.col("start"))).cast("int"),
     )
     rest = F.col("taken") - F.col("rounds") * F.col("size")
-    part = F.array_join(F.flatten(F.transform(chosen, cut)), "")
-    rows = rows.withColumn("_words", F.when(rest > 0, words)).withColumn("_part", F.when(rest > 0, part))
+    part = let(words, lambda w: F.array_join(F.flatten(F.transform(chosen, lambda b: cut(w, b))), ""))
+    rows = rows.withColumn("_part", F.when(rest > 0, part))
     copies = F.concat(
         F.array_repeat("text", F.col("rounds").cast("int")), F.when(rest > 0, F.array("_part")).otherwise(F.array())
     )

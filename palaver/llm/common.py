@@ -39,6 +39,11 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def let(value: Column, then) -> Column:
+    """``then`` of a value that is computed once; a column used inside a lambda could be computed for each element."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def word_count(text: Column) -> Column:
     """Number of words as a long; null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palaver.llm.common import WORD, stored
+from palaver.llm.common import WORD, let, stored
 
 WINDOW = 3
 
@@ -32,14 +32,19 @@ def _solid(text):
 
 def repeated_windows(docs: DataFrame, lines: int = WINDOW) -> DataFrame:
     """doc_id, text_md5 and ``starts``: where, among the lines with a word, windows begin that were seen before."""
-    rows = docs.select("doc_id", "text").withColumn("_l", F.split("text", "\n")).withColumn("_n", _solid(F.col("text")))
-    line = lambda i: F.get("_l", F.get("_n", i))
-    window = lambda i: F.struct(
-        F.unhex(F.md5(F.concat_ws("\n", *[line(i + k) for k in range(lines)]))).alias("h"), i.alias("i")
+    # The lines with a word, in order.
+    solid = F.filter(F.split("text", "\n"), lambda x: x.rlike(WORD))
+    window = lambda held, i: F.struct(
+        F.unhex(F.md5(F.concat_ws("\n", *[F.get(held, i + k) for k in range(lines)]))).alias("h"), i.alias("i")
+    )
+    windows = let(
+        solid,
+        lambda held: F.when(
+            F.size(held) >= lines, F.transform(F.sequence(F.lit(0), F.size(held) - lines), lambda i: window(held, i))
+        ),
     )
-    windows = F.when(F.size("_n") >= lines, F.transform(F.sequence(F.lit(0), F.size("_n") - lines), window))
     places = stored(
-        rows.select("doc_id", F.md5("text").alias("text_md5"), F.explode(windows).alias("w")).select(
+        docs.select("doc_id", F.md5("text").alias("text_md5"), F.explode(windows).alias("w")).select(
             "doc_id", "text_md5", "w.h", "w.i"
         ),
         "windows",
@@ -60,18 +65,21 @@ def dedup_lines(docs: DataFrame, lines: int = WINDOW) -> DataFrame:
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.md5("text") == F.col("_md5"))
     # Sets of places, not a search for each line: time stays in proportion to the text.
     marked = F.array_distinct(F.flatten(F.transform("_starts", lambda s: F.sequence(s, s + lines - 1))))
-    gone = F.transform(marked, lambda k: F.get("_n", k))
-    everyone = F.sequence(F.lit(0), F.size("_l") - 1)
-    left = F.transform(F.array_except(everyone, gone), lambda i: F.get("_l", i))
+    everyone = lambda held: F.sequence(F.lit(0), F.size(held) - 1)
+    gone = let(_solid(F.col("text")), lambda n: F.transform(marked, lambda k: F.get(n, k)))
+    left = let(
+        F.split("text", "\n"),
+        lambda held: F.transform(F.array_except(everyone(held), gone), lambda i: F.get(held, i)),
+    )
     cut = F.col("_starts").isNotNull()
-    rows = docs.join(found, same, "left").withColumn("_l", F.split("text", "\n"))
-    rows = rows.withColumn("_n", F.when(cut, _solid(F.col("text")))).withColumn("_left", F.when(cut, left))
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size("_l")).cast("long")
+    rows = docs.join(found, same, "left").withColumn("_left", F.when(cut, left))
+    count = F.size(F.split("text", "\n"))
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(count).cast("long")
     return (
         rows.withColumn("n_lines", n_lines)
-        .withColumn("n_removed", F.when(cut, F.size("_l") - F.size("_left")).otherwise(0).cast("long"))
+        .withColumn("n_removed", F.when(cut, count - F.size("_left")).otherwise(0).cast("long"))
         .withColumn("text", F.when(cut, F.array_join("_left", "\n")).otherwise(F.col("text")))
-        .drop("_id", "_md5", "_starts", "_l", "_n", "_left")
+        .drop("_id", "_md5", "_starts", "_left")
     )
 
 

@@ -21,13 +21,13 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palaver.llm.tokens import tokenizer
+from palaver.llm.tokens import kept, tokenizer
 
 VOCABULARY = "word_bpe_49k.json"
 CAPACITY = 2048
 SEPARATOR_ID = 0
 SHARD_PIECES = 16384
-CACHE_WORDS = 300_000
+CACHE_WORDS = 1_000_000
 
 PIECES = "id {kind}, piece int, start long, length long, ids_crc32 long, ids array<int>"
 
@@ -40,27 +40,25 @@ class WordEncoder:
     reaches across a blank. What is remembered is bounded; a full cache starts anew.
     """
 
-    def __init__(self, tok, size: int = CACHE_WORDS):
-        self.tok, self.size, self.known = tok, size, {}
+    def __init__(self, tok, known: dict[str, bytes] | None = None, size: int = CACHE_WORDS):
+        self.tok, self.size, self.known = tok, size, {} if known is None else known
 
-    def __call__(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        words = text.replace("\n", " ").split(" ")
-        known = self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            pass
-        fresh = [w for w in dict.fromkeys(words) if w not in known]
-        if len(known) + len(fresh) > self.size:
-            known.clear()
-            fresh = list(dict.fromkeys(words))
+    def learn(self, words: set[str]) -> None:
+        fresh = list(words.difference(self.known))
+        if len(self.known) + len(fresh) > self.size:
+            self.known.clear()
+            fresh = list(words)
         for k in range(0, len(fresh), 4096):
             part = fresh[k : k + 4096]
             for w, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False)):
                 ids = e.ids
-                known[w] = struct.pack(f"<{len(ids)}I", *ids)
-        return b"".join([known[w] for w in words])
+                self.known[w] = struct.pack(f"<{len(ids)}I", *ids)
+
+    def __call__(self, text: str) -> bytes:
+        """Little-endian unsigned 32-bit ids."""
+        words = text.replace("\n", " ").split(" ")
+        self.learn(set(words))
+        return b"".join([self.known[w] for w in words])
 
 
 def pieces(
@@ -79,7 +77,7 @@ def pieces(
         import numpy as np
         import pyarrow as pa
 
-        encode = WordEncoder(tokenizer(vocabulary))
+        encode = WordEncoder(tokenizer(vocabulary), kept(f"words of {vocabulary}"))
         end = struct.pack("<I", separator)
         for batch in batches:
             rows = []

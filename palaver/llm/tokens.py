@@ -14,15 +14,24 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def kept(name: str) -> dict:
+    """A dict that lives as long as the worker process; bound what goes in.
+
+    This module travels with each task, so it is the library's module that holds it.
+    """
+    import tokenizers
+
+    return tokenizers.__dict__.setdefault("_kept", {}).setdefault(name, {})
+
+
 def tokenizer(name: str):
     """The ``tokenizers`` object of a vocabulary file, without truncation or padding."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark owns the cores
-    import tokenizers
+    from tokenizers import Tokenizer
 
-    # This module travels with each task, so the worker's instances are held by the library's.
-    loaded = tokenizers.__dict__.setdefault("_by_file", {})
+    loaded = kept("by file")
     if name not in loaded:
-        tok = tokenizers.Tokenizer.from_file(tokenizer_path(name))
+        tok = Tokenizer.from_file(tokenizer_path(name))
         tok.no_truncation()
         tok.no_padding()
         loaded[name] = tok

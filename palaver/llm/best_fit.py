@@ -21,7 +21,7 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palaver.llm.tokens import kept, tokenizer
+from palaver.llm.tokens import tokenizer, worker_cache
 
 VOCABULARY = "word_bpe_49k.json"
 CAPACITY = 2048
@@ -77,7 +77,7 @@ def pieces(
         import numpy as np
         import pyarrow as pa
 
-        encode = WordEncoder(tokenizer(vocabulary), kept(f"words of {vocabulary}"))
+        encode = WordEncoder(tokenizer(vocabulary), worker_cache(f"words of {vocabulary}"))
         end = struct.pack("<I", separator)
         for batch in batches:
             rows = []

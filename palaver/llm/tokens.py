@@ -14,7 +14,7 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def kept(name: str) -> dict:
+def worker_cache(name: str) -> dict:
     """A dict that lives as long as the worker process; bound what goes in.
 
     This module travels with each task, so it is the library's module that holds it.
@@ -29,7 +29,7 @@ def tokenizer(name: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark owns the cores
     from tokenizers import Tokenizer
 
-    loaded = kept("by file")
+    loaded = worker_cache("by file")
     if name not in loaded:
         tok = Tokenizer.from_file(tokenizer_path(name))
         tok.no_truncation()

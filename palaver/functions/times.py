@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ISO_PATTERN = "yyyy-MM-dd'T'HH:mm:ssXX"
+ISO_PATTERN = "yyyy-MM-dd'T'HH:mm[:ss][.SSSSSSSSS]XX"
 _EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 
 
 def instant_of_iso(text: Column) -> Column:
     """Instant of an ISO-8601 string that carries its offset; NULL if unreadable.
 
-    ``+0200`` and ``+02:00`` and ``Z`` are all read.
+    ``+0200`` and ``+02:00`` and ``Z`` are all read; seconds and their fraction may be missing.
     """
     compact = F.regexp_replace(text, r"([+-]\d\d):(\d\d)$", "$1$2")
     return F.try_to_timestamp(compact, F.lit(ISO_PATTERN))
@@ -20,7 +20,7 @@ def instant_of_iso(text: Column) -> Column:
 
 def local_of_iso(text: Column) -> Column:
     """Wall-clock time of an ISO-8601 string in its own offset."""
-    return F.substring(text, 1, 19).try_cast("timestamp_ntz")
+    return F.regexp_replace(text, r"(Z|[+-]\d\d:?\d\d)$", "").try_cast("timestamp_ntz")
 
 
 def instant_of_utc(local: Column) -> Column:

@@ -8,7 +8,7 @@ from datetime import datetime, timedelta, timezone
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palaver.functions.paging import page_of_post
+from palaver.functions.paging import POSTS_PER_PAGE
 
 # Fixed values standing for nobody: an id and a name.
 NO_ID = "0"
@@ -33,21 +33,24 @@ def filter_page_range(df: DataFrame, pages: range | None) -> DataFrame:
     return df.filter(in_range(F.col("page_num"), pages)) if pages else df
 
 
-def filter_pages_of_posts(df: DataFrame, posts: range | None) -> DataFrame:
-    """Pages that can hold a post of the range; run it ahead of the extraction."""
-    if not posts:
+def filter_pages_of_posts(
+    df: DataFrame, posts: range | None, posts_per_page: int | None = POSTS_PER_PAGE
+) -> DataFrame:
+    """Pages that can hold a post of the range; run it ahead of the extraction.
+
+    All pages, where it is not known (None) how many posts a page holds.
+    """
+    if not posts or not posts_per_page:
         return df
     low, high = min(posts[0], posts[-1]), max(posts[0], posts[-1])
     return df.filter(
-        F.col("page_num").between(page_of_post(F.lit(low)), page_of_post(F.lit(high)))
+        F.col("page_num").between(F.ceil(F.lit(low) / posts_per_page), F.ceil(F.lit(high) / posts_per_page))
     )
 
 
 def filter_post_range(df: DataFrame, posts: range | None) -> DataFrame:
-    """Posts of the range, step honoured."""
-    if not posts:
-        return df
-    return filter_pages_of_posts(df, posts).filter(in_range(F.col("post_num"), posts))
+    """Posts of the range, step honoured, whatever pages they stand on."""
+    return df.filter(in_range(F.col("post_num"), posts)) if posts else df
 
 
 def filter_page_span(df: DataFrame, pages: range | None) -> DataFrame:

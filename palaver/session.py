@@ -31,6 +31,8 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     one (a test on one machine) gets a local folder.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     root = shared.rstrip("/") if shared else tempfile.mkdtemp(prefix="palaver-")
     return f"{root}/{label}-{uuid.uuid4().hex}"
 

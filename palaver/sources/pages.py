@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from palaver.functions.paging import POSTS_PER_PAGE
 from palaver.functions.maps import count_map, sum_map_values
 from palaver.functions.text import strip_whitespace, with_text_columns
 from palaver.functions.times import instant_of_iso, local_of_iso
@@ -135,9 +136,10 @@ def extract_messages(pages: DataFrame) -> DataFrame:
 
 
 def _likes(names: Column, text: Column) -> Column:
-    """Shown names; from three on there may be a number of further likes."""
-    more = F.nullif(F.regexp_extract(text, r"\d+", 0), F.lit("")).cast("int")
-    return F.when(names < 3, names).otherwise(names + F.coalesce(more, F.lit(0)))
+    """Shown names; from three on there may be a number of further likes. NULL if beyond the type."""
+    more = F.regexp_extract(text, r"\d+", 0)
+    more = F.when(F.coalesce(more, F.lit("")) == "", F.lit(0).cast("bigint")).otherwise(more.try_cast("int"))
+    return F.when(names < 3, names).otherwise((names + more).try_cast("int"))
 
 
 def _known_ids(ids: Column) -> Column:
@@ -157,6 +159,7 @@ def posts_of_messages(messages: DataFrame) -> DataFrame:
         instant_of_iso(m("datetime")).alias("creation_ts"),
         local_of_iso(m("datetime")).alias("creation_local"),
         strip_whitespace(m("raw_content")).alias("content"),
+        _likes(m("liking_names"), m("likes_text")).alias("like_count"),
         F.coalesce(F.try_element_at("user_ids", F.lit(1)), F.lit("0")).alias("author_id"),
         _known_ids(F.slice("user_ids", 2, F.greatest(F.size("user_ids"), F.lit(1)))).alias(
             "mentioned_list"
@@ -169,6 +172,7 @@ def posts_of_messages(messages: DataFrame) -> DataFrame:
         "author": m("data_author").isNull(),
         "datetime": m("creation_ts").isNull() | m("creation_local").isNull(),
         "content": m("raw_content").isNull(),
+        "likes": m("like_count").isNull(),
         "quote": F.coalesce(F.exists("quotes", lambda q: q.isNull()), F.lit(False)),
         "emoji": F.coalesce(F.exists("emojis", lambda e: e.isNull()), F.lit(False)),
     }
@@ -182,7 +186,6 @@ def posts_of_messages(messages: DataFrame) -> DataFrame:
         "*",
         m("data_author").alias("author"),
         m("datetime").alias("creation_datetime"),
-        _likes(m("liking_names"), m("likes_text")).alias("like_count"),
         F.size("quotes").alias("quote_count"),
         m("quotes").alias("quoted_list"),
         m("spoilers").alias("spoiler_count"),
@@ -210,11 +213,14 @@ def quarantined(extracted: DataFrame) -> DataFrame:
 
 
 def extract(
-    pages: DataFrame, page_range: range | None = None, post_range: range | None = None
+    pages: DataFrame,
+    page_range: range | None = None,
+    post_range: range | None = None,
+    posts_per_page: int | None = POSTS_PER_PAGE,
 ) -> DataFrame:
     """Pages → posts and ``problems``; ranges skip pages before they are parsed."""
     check_one_range(page_range, post_range)
-    wanted = filter_pages_of_posts(filter_page_range(pages, page_range), post_range)
+    wanted = filter_pages_of_posts(filter_page_range(pages, page_range), post_range, posts_per_page)
     return filter_post_range(posts_of_messages(extract_messages(wanted)), post_range)
 
 

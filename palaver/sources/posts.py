@@ -19,13 +19,19 @@ def read_posts(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
     if fmt == "json":
         _check_json(spark, path)
         return spark.read.schema(POSTS_SCHEMA).json(path)
-    return check_posts_columns(spark.read.parquet(path))
+    posts = check_posts_columns(spark.read.parquet(path))
+    found, wanted = dict(posts.dtypes), {f.name: f.dataType.simpleString() for f in POSTS_SCHEMA}
+    if found != wanted:
+        odd = sorted(c for c in wanted if found[c] != wanted[c])
+        raise ValueError(f"not a posts table: other types in {odd}")
+    return posts
 
 
 def _check_json(spark: SparkSession, path: str) -> None:
-    """Every posts row is written with all columns, so one row shows the names."""
-    sample = spark.read.text(path).select(F.json_object_keys("value").alias("names")).head(1)
-    if sample and sample[0].names != POSTS_SCHEMA.names:
+    """Every row must hold all columns in their order: the whole table is looked at."""
+    names = F.array(*[F.lit(n) for n in POSTS_SCHEMA.names])
+    other = ~F.json_object_keys("value").eqNullSafe(names)
+    if spark.read.text(path).filter(other).head(1):
         raise ValueError("not a posts table: other columns, or in another order")
 
 
@@ -107,9 +113,10 @@ def latest_version(
     newest = versions.groupBy(*keys).agg(F.max(rank).alias("_newest"))
     a, b = df.withColumn("_version", rank).alias("a"), newest.alias("b")
     # Not an equality, or it would become a second join key and cost a shuffle.
-    same = F.col("a._version") >= F.col("b._newest")
+    # A version that is NULL is the oldest; a key that is NULL is a key like others.
+    same = F.col("b._newest").isNull() | (F.col("a._version") >= F.col("b._newest"))
     for key in keys:
-        same &= F.col(f"a.{key}") == F.col(f"b.{key}")
+        same &= F.col(f"a.{key}").eqNullSafe(F.col(f"b.{key}"))
     return a.join(b, same, "left_semi").drop("_version")
 
 

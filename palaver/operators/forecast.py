@@ -14,7 +14,7 @@ from palaver.operators.select import filter_time_range
 
 KINDS = ("post", "page", "timestamp")
 SECONDS_PER_DAY = 86_400
-MAX_DAYS = 100_000_000  # a date further ahead does not fit a timestamp
+LAST_DAY = (2**63 - 1) // (SECONDS_PER_DAY * 1_000_000)  # days since 1970 that a timestamp can hold
 BLOCK = 10_000  # days generated from one array
 
 
@@ -79,13 +79,18 @@ def posting_rate(period: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def _in_range() -> Column:
+    """Whether the end of the forecast still fits a timestamp."""
+    return F.col("days") < LAST_DAY - 1 - F.unix_date(F.to_date("end_local"))
+
+
 def days_to_goal(rate: DataFrame, total: Column, goal: int) -> DataFrame:
     """Days until ``goal`` posts at the rate of the period, and the date it ends."""
     days = F.try_divide(F.lit(goal) - total, F.col("posts_per_day"))
     seconds = F.floor(F.col("days") * SECONDS_PER_DAY)
     eta = F.timestamp_add("SECOND", seconds, F.col("end_local"))
     return rate.withColumn("days", days).withColumn(
-        "eta", F.when(F.col("days") < MAX_DAYS, eta)
+        "eta", F.when(_in_range(), eta)
     )
 
 
@@ -98,11 +103,16 @@ def daily_histogram(period: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def forecast_series(period: DataFrame, total: Column, goal: int) -> DataFrame:
-    """The histogram, then one row a day at the mean rate until the goal."""
+    """The histogram, then one row a day at the mean rate until the goal.
+
+    Nothing follows the histogram where the goal is reached already, or so far
+    ahead that ``days_to_goal`` has no date for it.
+    """
     past = daily_histogram(period).select(
         "day", F.col("posts").cast("double").alias("posts"), F.lit(False).alias("is_forecast")
     )
-    outlook = days_to_goal(posting_rate(period), total, goal).select(
+    open_goal = days_to_goal(posting_rate(period), total, goal).where((F.col("days") > 0) & _in_range())
+    outlook = open_goal.select(
         F.ceil("days").cast("int").alias("ahead"),
         F.to_date("end_local").alias("last"),
         "posts_per_day",

@@ -109,8 +109,8 @@ def sink_report(spark, sf_dir):
 @query
 def concat_parts(spark, sf_dir):
     posts = views.doc(spark, sf_dir).select("post_num", "author", "thread_id")
-    parts = [posts.filter(F.col("thread_id") == t) for t in ("de", "en", "es", "fr")]
-    return posts_io.concat_parts(*parts)
+    early = F.coalesce(F.col("thread_id") < "en", F.lit(False))
+    return posts_io.concat_parts(posts.filter(early), posts.filter(~early))
 
 
 @query

@@ -141,3 +141,11 @@ def test_period_filters_reach_the_scan(posts, spark, tmp_path):
     df = FC.period_select(spark.read.parquet(path), 5, 9, "post")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(post_num,5), LessThanOrEqual(post_num,9)" in plan
+
+
+@pytest.mark.parametrize("goal", [1, 50, 2**62])
+def test_series_ends_with_the_histogram_if_no_day_is_ahead(posts, goal):
+    series = FC.forecast_series(posts, F.lit(50), goal).collect()
+    assert series and not any(r.is_forecast for r in series)
+    (rate,) = FC.days_to_goal(FC.posting_rate(posts), F.lit(50), goal).collect()
+    assert (rate.eta is None) == (goal > 50)

@@ -2,10 +2,13 @@
 
 Where no rule fits, a host is judged by the link graph. Hosts that an allow rule
 names pass on trust along links, hosts that a rule blocks as a whole pass on
-distrust against them (who links to a blocked host is suspect), both by
-personalised PageRank over distinct host edges. A host is blocked if its distrust
-reaches ``min_distrust`` and exceeds its trust. Masses are whole numbers, so the
-result does not hang on the order of sums.
+distrust against them (who links to a blocked host is suspect), both by walks
+with restarts over distinct host edges. Trust is personalised PageRank: a host
+shares it out among the hosts it links to. Distrust is a mean over the hosts a
+host links to, so it hangs on that host's own links and not on how many others
+link to the blocked one. A host is blocked if its distrust reaches
+``min_distrust`` and exceeds its trust. Masses are whole numbers, so the result
+does not hang on the order of sums.
 
 Everything is built from column functions; a round is one join and one partial
 sum, and is stored. Links without a host stay on their page's host and are no edges.
@@ -68,10 +71,13 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return rows.where("src <> '' and dst <> '' and src <> dst").distinct()
 
 
-def propagate(hosts: DataFrame, edges: DataFrame, seed: str, rounds: int = ROUNDS) -> DataFrame:
-    """(host, mass): each seed host starts with, and is given back, ``UNIT``; mass moves along (src, dst)."""
-    degree = edges.groupBy("src").agg(F.count("*").alias("degree"))
-    out = stored(edges.join(degree, "src"), "edges")
+def propagate(hosts: DataFrame, edges: DataFrame, seed: str, rounds: int = ROUNDS, divided_by: str = "src") -> DataFrame:
+    """(host, mass): each seed host starts with, and is given back, ``UNIT``; mass moves along (src, dst).
+
+    Divided by the edges of "src", a host's mass is shared out; by those of "dst", a host gets the mean of what it hangs on.
+    """
+    degree = edges.groupBy(divided_by).agg(F.count("*").alias("degree"))
+    out = stored(edges.join(degree, divided_by).select("src", "dst", "degree"), "edges")
     given = F.when(F.col(seed), F.lit(UNIT)).otherwise(F.lit(0)).cast("long")
     ranks = hosts.select("host", given.alias("mass"))
     if out.isEmpty():
@@ -101,7 +107,9 @@ def judge(pages: DataFrame, rules=RULES, *, rounds: int = ROUNDS, min_distrust:
     hosts = own.union(linked).where("host <> ''").groupBy("host").agg(F.bool_or("allowed").alias("allowed"))
     hosts = stored(hosts.withColumn("bad", whole).withColumn("good", F.col("allowed") & ~F.col("bad")), "hosts")
     trust = propagate(hosts, edges, "good", rounds)
-    distrust = propagate(hosts, edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), "bad", rounds)
+    # Against the links, and divided by the links of the host that gets it: a blocked host's in-degree takes nothing off.
+    against = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    distrust = propagate(hosts, against, "bad", rounds, divided_by="dst")
     judged = trust.select("host", F.col("mass").alias("trust")).join(distrust.select("host", F.col("mass").alias("distrust")), "host")
     # Only hosts that the graph blocks are looked up; the rest is allowed.
     blocked = judged.where((F.col("distrust") >= min_distrust) & (F.col("distrust") > F.col("trust"))).select(F.col("host").alias("_host"))
@@ -113,6 +121,7 @@ def judge(pages: DataFrame, rules=RULES, *, rounds: int = ROUNDS, min_distrust:
 
 
 def _oracle() -> str:
+    # Divides distrust by the blocked host's in-degree, as judge() once did; the same wherever pages have no host edges.
     fits = lambda h: f"(host = '{h}' OR ends_with(host, '.{h}'))"
     ordered = sorted(RULES, key=lambda r: -len(r[1] + r[2]))
     case = lambda what: "CASE " + " ".join(f"WHEN {fits(h)} AND starts_with(path, '{p}') THEN {what(v, h, p)}" for v, h, p in ordered) + " END"

@@ -230,6 +230,16 @@ def test_link_graph(spark):
     assert got[6][1] == "example.net/en/" and got[7][1:] == ("example.com/de/", "block") and got[9] == ("b.net", None, "block")
 
 
+def test_link_graph_blocks_linkers_of_much_linked_hosts(spark):
+    """A blocked host with 5, 50 and 5,000 linkers; and one link of 40 to such a host is no ground."""
+    link = lambda *to: "".join(f"<a href='http://{u}/'>l</a>" for u in to)
+    rows = [(f"l{k}.of{n}.io", link(f"b{n}.net")) for n in (5, 50, 5000) for k in range(n)]
+    rows += [("mixed.io", link("b5000.net", "c.io")), ("portal.io", link("b5000.net", *[f"c{k}.io" for k in range(39)]))]
+    df = spark.createDataFrame([(k, f"http://{h}/", html) for k, (h, html) in enumerate(rows)], "page_id long, url string, html string")
+    got = {r.host: r.verdict for r in link_graph.judge(df).collect()}
+    assert got.pop("portal.io") == "allow" and len(got) == 5056 and set(got.values()) == {"block"}
+
+
 def test_toxicity_defined_cases(spark, docs):
     labels = spark.createDataFrame([(k, None, k % 2) for k in range(9)] + [(None, 1, 1), (77, 0, 1), (3, 0, None)], "doc_id long, quality int, toxic int")
     got = score(docs, fit(docs, labels)).collect()

@@ -16,6 +16,11 @@ start. In each bucket every class is first compared with one leader; what these
 links join is one component, and the trees then look for pairs of different
 components only. A link left out lies within a component already found.
 
+A bucket beyond ``BLOCK_ROWS`` rows or ``BLOCK_CELLS`` counts is cut into blocks of
+one width, ordered by component and size. Each block has one box; pairs of blocks
+that could share enough, and are not of one component, go to tasks of their own.
+So a task holds two blocks at most, however large the bucket.
+
 Defined cases: null text and texts without words have an empty set and link with
 nothing; fewer words than a shingle are one shingle; rows that repeat are copies;
 rows with one doc_id and several texts are one document, linked by any of them; a
@@ -29,7 +34,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palaver.llm.common import stored
+from palaver.llm.common import ranked, stored
 from palaver.llm.components import components
 
 SHINGLE_WORDS = 5
@@ -41,6 +46,9 @@ FREQUENT = 65_536
 FREQUENT_IN_CHUNK = 16
 CHUNK_HASHES = 1_000_000
 LEAF = 32
+#: What one task holds of a bucket: larger ones are cut into blocks. Cells are rows times groups.
+BLOCK_ROWS, BLOCK_CELLS = 1024, 1 << 21
+PAIRS_IN_BATCH = 65_536
 ID_BITS = 20
 
 PIECE_BYTES = 1 << 20
@@ -287,37 +295,46 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
 
 
 class CountTree:
-    """R-tree over points: leaves of close points, every node with the largest count of each group and its least size."""
+    """R-tree over points: leaves of close points, every node with the largest count of each group, its sizes and its components."""
 
-    def __init__(self, points, sizes):
+    def __init__(self, points, sizes, comp=None):
         import numpy as np
 
-        self.points, self.sizes, self.np = points.astype("i8"), sizes, np
+        self.points, self.sizes, self.np = points.astype("i4"), sizes, np
+        self.comp = np.arange(len(sizes)) if comp is None else comp
         self.root = self._build(np.arange(len(sizes)))
 
     def _build(self, rows):
         np = self.np
         top, least, most = self.points[rows].max(0), int(self.sizes[rows].min()), int(self.sizes[rows].max())
+        span = (int(self.comp[rows].min()), int(self.comp[rows].max()))
         if len(rows) <= LEAF:
-            return (top, least, most, rows, None)
+            return (top, least, most, rows, None, span)
         # Sizes spread widest as long as they differ by more than partners may.
         spread = self.points[rows].max(0) - self.points[rows].min(0)
         key = self.sizes[rows] if 4 * least < 3 * most else self.points[rows, int(spread.argmax())]
         order = rows[np.argsort(key, kind="stable")]
         half = len(order) // 2
-        return (top, least, most, None, (self._build(order[:half]), self._build(order[half:])))
+        return (top, least, most, None, (self._build(order[:half]), self._build(order[half:])), span)
+
+    def pairs(self, percent: int, other: CountTree | None = None) -> Iterator[tuple]:
+        """Arrays (i, j) of all pairs of different components whose summed minima suffice.
 
-    def pairs(self, percent: int) -> Iterator[tuple]:
-        """Arrays (i, j), i < j in no order, of all pairs whose summed minima suffice."""
-        np, stack = self.np, [(self.root, self.root)]
+        Without ``other``, i < j in no order; else i is a row of this tree and j one of the other.
+        """
+        np, right_ = self.np, other or self
+        stack = [(self.root, right_.root)]
         while stack:
             a, b = stack.pop()
+            if a[5] == b[5] and a[5][0] == a[5][1]:
+                continue  # all of one component
             most = min(int(np.minimum(a[0], b[0]).sum()), a[2], b[2])
             if not _enough(most, a[1], b[1], percent):
                 continue
             if a[4] is None and b[4] is None:
-                shared = np.minimum(self.points[a[3]][:, None, :], self.points[b[3]][None, :, :]).sum(2)
-                good = _enough(shared, self.sizes[a[3]][:, None], self.sizes[b[3]][None, :], percent)
+                shared = np.minimum(self.points[a[3]][:, None, :], right_.points[b[3]][None, :, :]).sum(2)
+                good = _enough(shared, self.sizes[a[3]][:, None], right_.sizes[b[3]][None, :], percent)
+                good &= self.comp[a[3]][:, None] != right_.comp[b[3]][None, :]
                 i, j = np.nonzero(good)
                 i, j = a[3][i], b[3][j]
                 if a is b:
@@ -333,8 +350,35 @@ class CountTree:
                 stack += [(a, x) for x in b[4]]
 
 
+def _close(percent: int, side, ids, comp, lead, n, vec) -> Iterator[tuple]:
+    """Arrays (x, y) of the ids of pairs: within one block, or, where ``side`` has both 0 and 1, between two."""
+    import numpy as np
+
+    points = [np.frombuffer(v, "<u4") for v in vec]
+    groups = np.array([len(p) for p in points])
+    tree = lambda rows, width: CountTree(np.stack([folded(points[k], width) for k in rows]), n[rows], comp[rows])
+    # Pairs with the leader have been looked at before.
+    if side.any():
+        one, two = np.flatnonzero((side == 0) & ~lead), np.flatnonzero((side == 1) & ~lead)
+        if len(one) and len(two):
+            width = int(groups.min())
+            for i, j in tree(one, width).pairs(percent, tree(two, width)):
+                yield ids[one[i]], ids[two[j]]
+        return
+    rest = ~lead
+    for width in np.unique(groups).tolist():
+        # Partners have as many groups, or twice as many: their sizes differ by less than a factor of two.
+        rows = np.flatnonzero(((groups == width) | (groups == 2 * width)) & rest)
+        if len(rows) < 2:
+            continue
+        for i, j in tree(rows, width).pairs(percent):
+            i, j = rows[i], rows[j]
+            own = np.minimum(groups[i], groups[j]) == width
+            yield ids[i[own]], ids[j[own]]
+
+
 def _tree_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components within each bucket, by trees; rows (bucket, id, comp, lead, n, vec)."""
+    """Pairs of different components by trees, for each task (bucket, a, b); rows (bucket, a, b, side, id, comp, lead, n, vec)."""
 
     def found(batches):
         import numpy as np
@@ -342,61 +386,125 @@ def _tree_pairs(rows: DataFrame, percent: int) -> DataFrame:
 
         seen: set[tuple[int, int]] = set()
 
-        def joined(bucket, ids, comp, lead, n, vec):
-            if len(ids) < 2:
-                return []
-            out = []
-            points = [np.frombuffer(v, "<u4") for v in vec]
-            groups = np.array([len(p) for p in points])
-            for width in np.unique(groups).tolist():
-                # Partners have as many groups, or twice as many: their sizes differ by less than a factor of two.
-                rows = np.flatnonzero((groups == width) | (groups == 2 * width))
-                if len(rows) < 2:
+        def batch_of(pairs):
+            columns = list(zip(*pairs)) or [[], []]
+            return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], ["a", "b"])
+
+        def starts(table):
+            """Where tasks begin."""
+            keys = [table.column(k).to_numpy() for k in ("bucket", "a", "b")]
+            return [0, *(np.flatnonzero(np.any([np.diff(k) != 0 for k in keys], 0)) + 1).tolist()]
+
+        def emitted(table):
+            ids, comp, n, lead, side = (table.column(k).to_numpy() for k in ("id", "comp", "n", "lead", "side"))
+            vec, out = table.column("vec"), []
+            cuts = [*starts(table), len(ids)]
+            for s, e in zip(cuts, cuts[1:]):
+                if e - s < 2:
                     continue
-                tree = CountTree(np.stack([folded(points[k], width) for k in rows]), n[rows])
-                for i, j in tree.pairs(percent):
-                    i, j = rows[i], rows[j]
-                    # Pairs with the leader have been looked at before.
-                    open_ = (comp[i] != comp[j]) & ~lead[i] & ~lead[j] & (np.minimum(groups[i], groups[j]) == width)
-                    for x, y in zip(ids[i[open_]].tolist(), ids[j[open_]].tolist()):
-                        pair = (min(x, y), max(x, y))
+                for x, y in _close(percent, side[s:e], ids[s:e], comp[s:e], lead[s:e], n[s:e], vec.slice(s, e - s).to_pylist()):
+                    for pair in zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist()):
                         if pair not in seen:
                             seen.add(pair)
                             out.append(pair)
-            if len(seen) > 1_000_000:
-                seen.clear()
-            return out
+                    if len(seen) > 1_000_000:
+                        seen.clear()
+                    if len(out) >= PAIRS_IN_BATCH:
+                        yield batch_of(out)
+                        out = []
+            yield batch_of(out)
 
         held = None
         for batch in batches:
             if not batch.num_rows:
                 continue
             held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            bucket = held.column("bucket").to_numpy()
-            if bucket[0] == bucket[-1]:
-                continue  # one bucket so far: wait for its end
-            last = int(np.searchsorted(bucket, bucket[-1]))
-            yield from emitted(held.slice(0, last), joined)
-            held = held.slice(last)
+            last = starts(held)[-1]
+            if last:  # else one task so far: wait for its end
+                yield from emitted(held.slice(0, last))
+                held = held.slice(last)
         if held is not None:
-            yield from emitted(held, joined)
+            yield from emitted(held)
+
+    dealt = rows.select("bucket", "a", "b", "side", "id", "comp", "lead", "n", "vec")
+    dealt = dealt.repartition("bucket", "a", "b").sortWithinPartitions("bucket", "a", "b")
+    return dealt.mapInArrow(found, "a long, b long").distinct()
 
-    def emitted(rows, joined):
+
+def _boxes(blocks: DataFrame) -> DataFrame:
+    """A row for each (bucket, block): its groups, the range of its components and sizes, and the largest count of each group."""
+
+    def boxed(table):
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
 
-        bucket = rows.column("bucket").to_numpy()
-        ids, comp, n = (rows.column(k).to_numpy() for k in ("id", "comp", "n"))
-        lead, vec = rows.column("lead").to_numpy(), rows.column("vec").to_pylist()
-        cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
-        out = []
-        for s, e in zip(cuts, cuts[1:]):
-            out += joined(bucket[s], ids[s:e], comp[s:e], lead[s:e], n[s:e], vec[s:e])
-        columns = list(zip(*out)) or [[], []]
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], ["a", "b"])
-
-    dealt = rows.select("bucket", "id", "comp", "lead", "n", "vec").repartition("bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(found, "a long, b long").distinct()
+        top = np.max([np.frombuffer(v, "<u4") for v in table.column("vec").to_pylist()], 0)
+        first = lambda k: table.column(k)[0].as_py()
+        row = {"bucket": first("bucket"), "block": first("block"), "groups": first("groups")}
+        for k, (low, high) in {"comp": ("lo", "hi"), "n": ("least", "most")}.items():
+            row[low], row[high] = pc.min_max(table.column(k)).as_py().values()
+        return pa.Table.from_pylist([{**row, "box": top.astype("<u4").tobytes()}])
+
+    schema = "bucket long, block long, groups long, lo long, hi long, least long, most long, box binary"
+    rows = blocks.select("bucket", "block", "groups", "comp", "n", "vec")
+    return rows.groupBy("bucket", "block").applyInArrow(boxed, schema)
+
+
+def _block_pairs(boxes: DataFrame, percent: int) -> DataFrame:
+    """(bucket, a, b), a <= b: blocks that may hold a pair of different components that share enough."""
+    side = lambda x: boxes.select("bucket", *[F.col(c).alias(f"{c}_{x}") for c in boxes.columns[1:]])
+
+    def kept(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            least = []
+            for x, y in zip(batch.column("box_a").to_pylist(), batch.column("box_b").to_pylist()):
+                x, y = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
+                groups = min(len(x), len(y))
+                # Folded boxes hold folded points.
+                least.append(int(np.minimum(folded(x, groups), folded(y, groups)).sum()))
+            n_a, n_b, most_a, most_b = (batch.column(k).to_numpy() for k in ("least_a", "least_b", "most_a", "most_b"))
+            good = pa.array(_enough(np.minimum(np.array(least, "i8"), np.minimum(most_a, most_b)), n_a, n_b, percent))
+            columns = [batch.column(k).filter(good) for k in ("bucket", "block_a", "block_b")]
+            yield pa.RecordBatch.from_arrays(columns, ["bucket", "a", "b"])
+
+    near = (
+        "block_a <= block_b and not (lo_a = hi_a and lo_b = hi_b and lo_a = lo_b) and groups_a <= 2 * groups_b and groups_b <= 2 * groups_a"
+        f" and 100 * most_a >= {percent} * least_b and 100 * most_b >= {percent} * least_a"
+    )
+    return side("a").join(side("b"), "bucket").where(near).mapInArrow(kept, "bucket long, a long, b long")
+
+
+def _dealt(members: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """The rows of ``_tree_pairs`` for (bucket, id, comp, lead, n, groups): a small bucket is one task, a large one goes by pairs of blocks."""
+    cells = F.count("*") * F.max("groups")
+    sizes = members.groupBy("bucket").agg(
+        F.min("comp").alias("lo"), F.max("comp").alias("hi"), ((F.count("*") > BLOCK_ROWS) | (cells > BLOCK_CELLS)).alias("large")
+    )
+    open_ = stored(members.join(sizes.where("lo < hi").select("bucket", "large"), "bucket"), "open")
+    points = points.select("id", "vec")
+    small = open_.where("not large").join(points, "id").selectExpr(
+        "bucket", "-1L as a", "-1L as b", "0 as side", "id", "comp", "lead", "n", "vec"
+    )
+    large = open_.where("large")
+    if large.isEmpty():
+        return small
+    # Places are numbered over all buckets: a block ends with its bucket, its width, or at a round number.
+    placed = ranked(large.drop("large"), F.col("bucket"), F.col("groups"), F.col("comp"), F.col("n"), F.col("id"), name="place")
+    held = f"least({BLOCK_ROWS}, greatest(1, {BLOCK_CELLS} div groups))"
+    # Numbers of blocks of one bucket differ by width as well.
+    placed = placed.withColumn("block", F.expr(f"(place div {held}) * {MAX_BITS + 1} + cast(round(log2(groups)) as long)"))
+    blocks = stored(placed.join(points, "id").drop("place"), "blocks")
+    pairs = stored(_block_pairs(stored(_boxes(blocks), "boxes"), percent), "block-pairs")
+    sides = pairs.selectExpr("bucket", "a as block", "a", "b", "0 as side").union(
+        pairs.where("a < b").selectExpr("bucket", "b as block", "a", "b", "1 as side")
+    )
+    return small.union(blocks.join(sides, ["bucket", "block"]).select(*small.columns))
 
 
 def near_duplicates(
@@ -412,7 +520,7 @@ def near_duplicates(
     named = sigs.where("n > 0 and doc_id is not null").groupBy("digest").agg(rep)
     classes = stored(named.select("digest", F.col("rep.doc_id").alias("id"), "rep.c", "rep.n", "rep.vec"), "classes")
     # Texts that share a passage share many shingles: buckets with the same classes become one.
-    of_shingle, of_bucket = "over (partition by shingle)", "over (partition by bucket)"
+    of_shingle = "over (partition by shingle)"
     same = f"xxhash64(bit_xor(xxhash64(c)) {of_shingle}, sum(c & 2147483647) {of_shingle}, count(*) {of_shingle})"
     shared = stored(
         _postings(docs, shingle_words, min_percent, last)
@@ -433,13 +541,13 @@ def near_duplicates(
 
     # Pairs of components that meet in a bucket.
     comp = stored(
-        points.select("id", "c").join(joined, "id", "left").select("id", "c", F.coalesce("component", "id").alias("comp")), "labels"
+        points.select("id", "c", "n", (F.octet_length("vec") / 4).cast("long").alias("groups"))
+        .join(joined, "id", "left")
+        .select("id", "c", "n", "groups", F.coalesce("component", "id").alias("comp")),
+        "labels",
     )
-    rows = shared.join(comp, "c").withColumn("lead", F.col("c") == F.col("leader"))
-    rows = rows.selectExpr(
-        "bucket", "id", "comp", "lead", f"min(comp) {of_bucket} as lo", f"max(comp) {of_bucket} as hi"
-    ).where("lo < hi")
-    rows = rows.join(points.select("id", "n", "vec"), "id")
+    members = shared.join(comp, "c").withColumn("lead", F.col("c") == F.col("leader")).drop("c", "leader")
+    rows = _dealt(members, points, min_percent)
     more = _verified(_tree_pairs(rows, min_percent), docs, shingle_words, min_percent)
     final = components(links.union(more))
 

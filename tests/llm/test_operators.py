@@ -137,6 +137,44 @@ def test_count_tree_finds_all_pairs():
     assert got == {(i, j) for i, j in zip(*np.nonzero(want)) if i < j}
 
 
+def _tasks(spark, members, vectors):
+    """Rows of each task that the trees get."""
+    rows = spark.createDataFrame(members, "bucket long, id long, comp long, lead boolean, n long, groups long")
+    points = spark.createDataFrame(vectors, "id long, vec binary")
+    tasks = {}
+    for r in count_vector_join._dealt(rows, points, 75).collect():
+        tasks.setdefault((r.bucket, r.a, r.b), []).append((r.side, r.id))
+    return tasks
+
+
+def test_large_buckets_go_by_blocks(spark, monkeypatch):
+    """One bucket of near copies in a component and a stray: bounded tasks, and none of one component alone."""
+    monkeypatch.setattr(count_vector_join, "BLOCK_ROWS", 16)
+    vec = lambda k: np.bincount([k % 16], minlength=16).astype("<u4") + np.uint32(4)
+    vectors = [(k, vec(k).astype("<u4").tobytes()) for k in range(202)]
+    members = [(7, k, 0 if k < 200 else k, k == 0, 65, 16) for k in range(201)] + [(8, 200, 200, True, 65, 16), (8, 201, 201, False, 65, 16)]
+    tasks = _tasks(spark, members, vectors)
+    assert max(map(len, tasks.values())) <= 2 * 16 and set(tasks[(8, -1, -1)]) == {(0, 200), (0, 201)}
+    own = {key: {k for _, k in rows} for key, rows in tasks.items() if key[0] == 7}
+    assert all(200 in ids for ids in own.values()) and set().union(*own.values()) == set(range(201))
+
+
+def test_near_duplicates_by_blocks(spark, monkeypatch):
+    """The same components when every bucket is cut into small blocks."""
+    monkeypatch.setattr(count_vector_join, "BLOCK_ROWS", 4)
+    test_near_duplicates_of_graded_copies(spark)
+
+
+def test_count_tree_passes_over_one_component():
+    points, sizes = np.full((400, 16), 5), np.full(400, 80)
+    comp = np.zeros(400, int)
+    comp[399] = 1
+    found = list(count_vector_join.CountTree(points, sizes, comp).pairs(75))
+    assert sum(len(i) for i, _ in found) == 399
+    one, two = (count_vector_join.CountTree(points[s], sizes[s], comp[s]) for s in (slice(0, 200), slice(200, 400)))
+    assert sum(len(i) for i, _ in one.pairs(75, two)) == 200 and all((j == 199).all() for _, j in one.pairs(75, two))
+
+
 def test_shingler_splits_long_texts_alike(monkeypatch):
     text = "Äb  c\td\n" * 500 + LONG
     whole = count_vector_join.Shingler()(text)

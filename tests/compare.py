@@ -51,7 +51,7 @@ def differences(spark, con, name, query, sql, sf_dir):
         return f"{len(mine)} rows / {len(theirs)} rows"
     types = dict(df.dtypes)
     other = dict(zip(columns, [str(d[1]) for d in result.description]))
-    kinds = {"bigint": "BIGINT", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}
+    kinds = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}
     for c, t in types.items():
         if kinds.get(t) != other[c]:
             return f"type of {c}: {t} / {other[c]}"

@@ -4,7 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from palaver.llm import chat_format, count_vector_join, line_windows, link_graph, mix_queries, permutation_index, quality_queries, toxicity
+from palaver.llm import (
+    chat_format,
+    chunk_reuse,
+    count_vector_join,
+    filter_audit,
+    line_windows,
+    link_graph,
+    mix_queries,
+    permutation_index,
+    quality_queries,
+    toxicity,
+    walsh_clusters,
+)
 from palaver.llm.best_fit import pack, pieces
 from palaver.llm.common import stored, table
 from palaver.llm.token_counts import token_counts
@@ -57,9 +69,12 @@ QUERIES = {
     "op8_line_windows": op8_line_windows,
     "op9_toxicity": op9_toxicity,
     "op10_link_graph": op10_link_graph,
+    "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op12_walsh_clusters": walsh_clusters.op12_walsh_clusters,
+    "op13_chunk_reuse": chunk_reuse.op13_chunk_reuse,
 }
 
-# op4 and op6 hang on tokenizers, op5 and op9 are approximate and learnt: tests
+# op4, op6 and op13 hang on tokenizers, op5 and op9 are approximate and learnt: tests
 # hold them against the library, brute force and held-out labels.
 ORACLES = {
     "op1_quality_divergence": quality_queries.ORACLE,
@@ -68,4 +83,6 @@ ORACLES = {
     "op7_count_vector_join": count_vector_join.ORACLE,
     "op8_line_windows": line_windows.ORACLE,
     "op10_link_graph": link_graph.ORACLE,
+    "op11_filter_audit": filter_audit.ORACLE,
+    "op12_walsh_clusters": walsh_clusters.ORACLE,
 }

@@ -20,6 +20,10 @@ the end to both chunks and those that follow. Agreement is exact, not likely:
 * a start counts only on an ASCII character, in front of which no normal form
   reaches, and at a distance from cuts that no special string bridges.
 
+For vocabularies that drop blanks and split at them (this is checked) only starts
+behind blanks are used, and a worker remembers the ids of words; all others go
+through the library's own starts and offsets.
+
 Decoding joins the ids' entries of the vocabulary, as the library does for
 vocabularies without a decoder; it is called itself for others.
 
@@ -30,6 +34,7 @@ repeated results; an empty table gives no rows; other columns are not looked at.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 from hashlib import blake2b, sha256
 
@@ -37,18 +42,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palaver.llm.common import stored, table
-from palaver.llm.tokens import tokenizer
+from palaver.llm.tokens import WordIds, splits_at_blanks, tokenizer, worker_cache
 
 VOCABULARY = "word_bpe_49k.json"
 #: Chunk lengths in characters: a cut every 2^CUT_BITS characters on average, after the first MIN_CHARS.
 MIN_CHARS, CUT_BITS, MAX_CHARS = 256, 9, 8192
 ROLLING = 32
-HOT_SHARE = 8192
+HOT_SHARE = 65_536
 #: Bits that say which chunks occur more than once; a bit set by chance only sends a chunk the longer way.
-SHARED_BITS = 23
+SHARED_BITS = 25
 #: Starts kept with a chunk that travels, at each end.
 MARKS = 12
 REACH = 64
+CACHE_WORDS = 1_000_000
 BATCH_CHARS = 1 << 20
 _ODD = 0x9E3779B97F4A7C15
 
@@ -108,60 +114,166 @@ def _short(key: bytes) -> int:
 
 
 class Piece:
-    """Ids of a part of a text encoded by itself, and pre-token starts: (place in the part, number of the token)."""
+    """Ids (an array) of a part of a text encoded by itself, and its outer pre-token starts: (place in the part, number of the token)."""
 
     __slots__ = ("ids", "starts", "length")
 
-    def __init__(self, ids: list[int], starts: list[tuple[int, int]], length: int):
-        self.ids, self.starts, self.length = ids, starts, length
+    def __init__(self, ids, starts: list[tuple[int, int]], length: int):
+        self.ids, self.length = ids, length
+        self.starts = starts if len(starts) <= 2 * MARKS else starts[:MARKS] + starts[-MARKS:]
+
+
+def _array(ids: list[int]):
+    import numpy as np
+
+    return np.array(ids, "<u4")
+
+
+class Library:
+    """Pieces by the tokenizer library, whatever the vocabulary."""
+
+    def __init__(self, tok, margin: int):
+        self.tok, self.margin = tok, margin
+
+    def one(self, text: str) -> Piece:
+        return self._piece(self.tok.encode(text, add_special_tokens=False), len(text))
+
+    def many(self, texts: list[str]) -> list[Piece]:
+        encodings = self.tok.encode_batch(texts, add_special_tokens=False)
+        return [self._piece(e, len(t)) for e, t in zip(encodings, texts)]
+
+    def _piece(self, encoding, length: int) -> Piece:
+        return Piece(_array(encoding.ids), self._starts(encoding), length)
 
-    @classmethod
-    def of(cls, encoding, length: int) -> Piece:
-        starts, last = [], None
-        offsets = encoding.offsets
+    def _starts(self, encoding) -> list[tuple[int, int]]:
+        starts, last, offsets = [], None, encoding.offsets
         for k, word in enumerate(encoding.word_ids):
             if word is None or word != last:
                 starts.append((offsets[k][0], k))
             last = word
-        return cls(encoding.ids, starts, length)
+        return starts
+
+    def window(self, text: str, place: int, known: dict[int, int], right: Piece, cut: int, end: int):
+        """(ids, number of them to use, common start) of the text from ``place`` to a start in ``known``, or None."""
+        reach, last = max(REACH, 2 * self.margin), max(known)
+        while True:
+            stop = min(cut + reach, len(text))
+            encoding = self.tok.encode(text[place:stop], add_special_tokens=False)
+            limit = stop if stop == len(text) else stop - self.margin - 1
+            for at, k in self._starts(encoding):
+                if place + at in known and place + at <= limit:
+                    return _array(encoding.ids), k, place + at
+            if limit >= last or stop >= end:
+                return None
+            reach *= 2
+
+
+class Words:
+    """Pieces by words between blanks, for vocabularies that split there.
+
+    Encoded words are remembered in two generations: when the younger one is full it
+    becomes the older one, and words still in use are taken over from there.
+    """
+
+    def __init__(self, tok, known: dict[str, dict[str, bytes]], size: int = CACHE_WORDS):
+        self.ids, self.size, self.known = WordIds(tok), size, known
+        known.setdefault("young", {})
+        known.setdefault("old", {})
+
+    def _learn(self, words: set[str]) -> dict[str, bytes]:
+        young, old = self.known["young"], self.known["old"]
+        missing = words.difference(young)
+        if 2 * (len(young) + len(missing)) > self.size:
+            young, old = {}, young
+            self.known.update(young=young, old=old)
+            missing = words
+        fresh = []
+        for w in missing:
+            held = old.get(w)
+            if held is None:
+                fresh.append(w)
+            else:
+                young[w] = held
+        for w, ids in zip(fresh, self.ids(fresh)):
+            young[w] = struct.pack(f"<{len(ids)}I", *ids)
+        return young
+
+    def many(self, texts: list[str]) -> list[Piece]:
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        known = self._learn(set().union(*split))
+        return [self._piece(words, [known[w] for w in words], len(t)) for words, t in zip(split, texts)]
+
+    def one(self, text: str) -> Piece:
+        return self.many([text])[0]
+
+    def _piece(self, words: list[str], parts: list[bytes], length: int) -> Piece:
+        import numpy as np
+
+        ids = np.frombuffer(b"".join(parts), "<u4")
+        starts, place, token = [], 0, 0
+        for w, part in zip(words[: 2 * MARKS], parts):
+            if part:
+                starts.append((place, token))
+            place, token = place + len(w) + 1, token + len(part) // 4
+        tail, place, token = [], length + 1, len(ids)
+        for w, part in zip(reversed(words[2 * MARKS :][-MARKS:]), reversed(parts)):
+            place, token = place - len(w) - 1, token - len(part) // 4
+            if part:
+                tail.append((place, token))
+        return Piece(ids, starts + tail[::-1], length)
+
+    def window(self, text: str, place: int, known: dict[int, int], right: Piece, cut: int, end: int):
+        """As of ``Library``; the window ends where a word begins, and what follows the common start must be the right chunk's ids."""
+        places = sorted(known)
+        for start, stop in zip(places, [*places[1:], None]):
+            token, upto = known[start], known.get(stop, len(right.ids))
+            if stop is None and end < len(text):
+                return None  # what follows may be cut
+            ids = self.one(text[place:stop]).ids
+            k = len(ids) - (upto - token)
+            if k >= 0 and (ids[k:] == right.ids[token:upto]).all():
+                return ids, k, start
+        return None
 
 
 class Joiner:
     """The ids of a whole text from its chunks'."""
 
-    def __init__(self, tok, reach: int = REACH):
+    def __init__(self, tok, known: dict | None = None, by_words: bool | None = None):
         self.tok = tok
         self.margin = max([len(t.content) for t in tok.get_added_tokens_decoder().values()], default=0)
-        self.reach = max(reach, 2 * self.margin)
-
-    def encode(self, text: str) -> Piece:
-        return Piece.of(self.tok.encode(text, add_special_tokens=False), len(text))
+        words = splits_at_blanks(tok) if by_words is None else by_words
+        self.pieces = Words(tok, {} if known is None else known) if words else Library(tok, self.margin)
 
     def __call__(self, text: str, ends: list[int], pieces: list[Piece]) -> list[int]:
         """``pieces`` are the chunks of ``text`` that end at ``ends``, each encoded by itself."""
         if not ends:
             return []
-        out: list[int] = []
+        import numpy as np
+
+        out = []
         held, begin = pieces[0], 0
         # Ids of the text before ``origin`` are in ``out``; ``origin`` is a true start and token ``first`` of ``held`` begins there.
         origin, first, k = 0, 0, 1
         while k < len(pieces):
             cut = ends[k - 1]
             place, token = self._last_start(text, held, begin, cut, origin, first)
-            found = self._agreed(text, place, cut, pieces[k], ends[k])
-            out += held.ids[first:token]
+            right = pieces[k]
+            known = {cut + p: t for p, t in right.starts if p >= max(self.margin, 1) and text[cut + p].isascii()}
+            found = self.pieces.window(text, place, known, right, cut, ends[k]) if known else None
+            out.append(held.ids[first:token])
             if found:
-                window, upto, start, first = found
-                out += window[:upto]
-                held, begin, origin = pieces[k], cut, start
+                window, upto, start = found
+                out.append(window[:upto])
+                held, begin, origin, first = right, cut, start, known[start]
                 k += 1
                 continue
             # No common start in the right chunk: encode from the last true start on, twice as far each time.
             goal = cut + max(ends[k] - cut, cut - place)
             while k < len(pieces) and ends[k - 1] < goal:
                 k += 1
-            held, begin, origin, first = self.encode(text[place : ends[k - 1]]), place, place, 0
-        return out + held.ids[first:]
+            held, begin, origin, first = self.pieces.one(text[place : ends[k - 1]]), place, place, 0
+        return np.concatenate([*out, held.ids[first:]]).tolist()
 
     def _last_start(self, text, held, begin, cut, origin, first):
         """The last true start in front of ``cut`` that no special string bridges; at worst ``origin``."""
@@ -173,25 +285,6 @@ class Joiner:
                 return at, token
         return origin, first
 
-    def _agreed(self, text, place, cut, right: Piece, end: int):
-        """(ids, number of them to use, common start, its token in ``right``), or None if there is no such start."""
-        known = {cut + p: t for p, t in right.starts if p >= self.margin and text[cut + p].isascii()}
-        if not known:
-            return None
-        reach, last = self.reach, max(known)
-        while True:
-            stop = min(cut + reach, len(text))
-            window = self.tok.encode(text[place:stop], add_special_tokens=False)
-            limit = stop if stop == len(text) else stop - self.margin - 1
-            before = None
-            for k, (word, (at, _)) in enumerate(zip(window.word_ids, window.offsets)):
-                fresh, before = word is None or word != before, word
-                if fresh and place + at in known and place + at <= limit:
-                    return window.ids, k, place + at, known[place + at]
-            if limit >= last or stop >= end:
-                return None
-            reach *= 2
-
 
 class Digests:
     """Token number and digests of ids and of the decoded text."""
@@ -211,38 +304,42 @@ class Digests:
         return len(ids), sha256(written.encode()).hexdigest(), sha256(self.decode(ids).encode()).hexdigest()
 
 
-def _encoded(joiner: Joiner, chunks: dict[bytes, str]) -> Iterator[tuple[bytes, Piece]]:
-    """Every chunk by itself, in calls of about ``BATCH_CHARS`` characters."""
-    held, size = [], 0
-    for key, chunk in chunks.items():
-        held.append(key)
-        size += len(chunk)
-        if size >= BATCH_CHARS:
-            yield from _batch(joiner, held, chunks)
-            held, size = [], 0
-    yield from _batch(joiner, held, chunks)
+def _encoded(joiner: Joiner, chunks: dict[bytes, str]) -> dict[bytes, Piece]:
+    """Every chunk by itself."""
+    return dict(zip(chunks, joiner.pieces.many(list(chunks.values())))) if chunks else {}
+
+
+def _joiner(vocabulary: str) -> Joiner:
+    return Joiner(tokenizer(vocabulary), worker_cache(f"ids of words of {vocabulary}"))
+
 
+def _slices(batch, column: int) -> Iterator:
+    """Parts of an Arrow batch or table with about ``BATCH_CHARS`` bytes of text, a row at least."""
+    import numpy as np
+    import pyarrow.compute as pc
 
-def _batch(joiner: Joiner, keys: list[bytes], chunks: dict[bytes, str]) -> Iterator[tuple[bytes, Piece]]:
-    texts = [chunks[k] for k in keys]
-    for key, text, encoding in zip(keys, texts, joiner.tok.encode_batch(texts, add_special_tokens=False)):
-        yield key, Piece.of(encoding, len(text))
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy())
+    start = 0
+    while start < batch.num_rows:
+        done = sizes[start - 1] if start else 0
+        end = max(int(np.searchsorted(sizes, done + BATCH_CHARS)), start + 1)
+        yield batch.slice(start, end - start)
+        start = end
 
 
 def _packed(piece: Piece) -> tuple[bytes, bytes]:
-    """Ids and the outer starts as bytes."""
+    """Ids and starts as bytes."""
     import numpy as np
 
-    starts = piece.starts if len(piece.starts) <= 2 * MARKS else piece.starts[:MARKS] + piece.starts[-MARKS:]
-    width = "<u2" if max(piece.ids, default=0) < 1 << 16 else "<u4"
-    return width[-1].encode() + np.array(piece.ids, width).tobytes(), np.array(starts, "<i4").tobytes()
+    width = "<u2" if piece.ids.max(initial=0) < 1 << 16 else "<u4"
+    return width[-1].encode() + piece.ids.astype(width).tobytes(), np.array(piece.starts, "<i4").tobytes()
 
 
 def _unpacked(ids: bytes, starts: bytes, length: int) -> Piece:
     import numpy as np
 
-    values = np.frombuffer(ids[1:], "<u" + ids[:1].decode()).tolist()
-    return Piece(values, [tuple(s) for s in np.frombuffer(starts, "<i4").reshape(-1, 2).tolist()], length)
+    values = np.frombuffer(ids[1:], "<u" + ids[:1].decode())
+    return Piece(values.astype("<u4"), [tuple(s) for s in np.frombuffer(starts, "<i4").reshape(-1, 2).tolist()], length)
 
 
 class Shared:
@@ -286,19 +383,20 @@ def _counts(texts: DataFrame, settings: tuple) -> DataFrame:
 
 
 def _shared(texts: DataFrame, settings: tuple, hot_share: int) -> Shared:
+    import numpy as np
+
     counts = stored(_counts(texts.select("text"), settings), "chunk-counts")
     total = counts.agg(F.sum("n")).first()[0] or 0
     repeated = counts.where("n > 1")
     # Fewer than hot_share chunks can have such a share.
     hot = {r[0] for r in repeated.where(F.col("n") * hot_share > total).select("chunk").collect()}
-    # A fixed number of bits, or-ed by words of 32: 2^18 rows at most.
+    # A fixed number of bits, or-ed by words of 32: 2^20 rows at most.
     place = F.col("chunk").bitwiseAND((1 << SHARED_BITS) - 1)
-    bit = F.expr(f"shiftleft(1L, cast((chunk & {(1 << SHARED_BITS) - 1}) % 32 as int))")
-    words = repeated.groupBy(F.shiftright(place, 5).alias("word")).agg(F.bit_or(bit).alias("bits"))
-    bits = bytearray(1 << (SHARED_BITS - 3))
-    for r in words.collect():
-        bits[4 * r["word"] : 4 * r["word"] + 4] = r["bits"].to_bytes(4, "little")
-    return Shared(hot, bytes(bits))
+    bit = F.expr("shiftleft(1L, cast(chunk & 31 as int))")
+    words = repeated.groupBy(F.shiftright(place, 5).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    bits = np.zeros(1 << (SHARED_BITS - 5), "<u4")
+    bits[words.column("word").to_numpy()] = words.column("bits").to_numpy().astype("<u4")
+    return Shared(hot, bits.tobytes())
 
 
 def _in_place(texts: DataFrame, shared: Shared, vocabulary: str, settings: tuple, kind: str) -> DataFrame:
@@ -307,10 +405,10 @@ def _in_place(texts: DataFrame, shared: Shared, vocabulary: str, settings: tuple
     def finished(batches):
         import pyarrow as pa
 
-        tok = tokenizer(vocabulary)
-        cuts, joiner, digests = Chunker(*settings), Joiner(tok), Digests(tok)
+        cuts, joiner = Chunker(*settings), _joiner(vocabulary)
+        digests = Digests(joiner.tok)
         kept: dict[bytes, Piece] = {}  # hot ones
-        for batch in batches:
+        for batch in (part for whole in batches for part in _slices(whole, 1)):
             work, chunks = [], {}
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ends = cuts(text)
@@ -319,7 +417,7 @@ def _in_place(texts: DataFrame, shared: Shared, vocabulary: str, settings: tuple
                     continue
                 work.append((key, text, ends, keys))
                 chunks.update({k: text[a:b] for k, a, b in zip(keys, [0, *ends], ends) if k not in kept})
-            pieces = dict(_encoded(joiner, chunks))
+            pieces = _encoded(joiner, chunks)
             kept.update({k: p for k, p in pieces.items() if _short(k) in shared.hot})
             pieces.update(kept)
             out = [(key, *digests(joiner(text, ends, [pieces[k] for k in keys]))) for key, text, ends, keys in work]
@@ -410,13 +508,15 @@ def _encoded_once(chunks: DataFrame, vocabulary: str) -> DataFrame:
     def encoded(batches):
         import pyarrow as pa
 
-        joiner = Joiner(tokenizer(vocabulary))
+        joiner = _joiner(vocabulary)
         names = ["text_key", "chunk", "ids", "starts", "length"]
         types = [*[pa.binary()] * 4, pa.int64()]
         for part in _runs(batches, "chunk"):
             keys, texts = part.column("chunk").to_pylist(), part.column("text").to_pylist()
-            found = dict(_encoded(joiner, {k: t for k, t in zip(keys, texts) if t is not None}))
-            packed = {k: (*_packed(p), p.length) for k, p in found.items()}
+            packed, chunks = {}, list({k: t for k, t in zip(keys, texts) if t}.items())
+            for at in range(0, len(chunks), 1024):
+                found = _encoded(joiner, dict(chunks[at : at + 1024]))
+                packed.update({k: (*_packed(p), p.length) for k, p in found.items()})
             owners = part.column("text_key").to_pylist()
             for at in range(0, len(keys), 4096):
                 out = [(o, k, *packed[k]) for o, k in zip(owners[at : at + 4096], keys[at : at + 4096])]
@@ -432,8 +532,8 @@ def _assembled(texts: DataFrame, encoded: DataFrame, vocabulary: str, settings:
     def joined(batches):
         import pyarrow as pa
 
-        tok = tokenizer(vocabulary)
-        cuts, joiner, digests = Chunker(*settings), Joiner(tok), Digests(tok)
+        cuts, joiner = Chunker(*settings), _joiner(vocabulary)
+        digests = Digests(joiner.tok)
         for part in _runs(batches, "text_key"):
             known: dict[bytes, dict[bytes, Piece]] = {}
             texts, ids = {}, []
@@ -449,7 +549,7 @@ def _assembled(texts: DataFrame, encoded: DataFrame, vocabulary: str, settings:
             for name, text in texts.items():
                 ends, far = cuts(text), known.get(name, {})
                 spans = [(digest(text[a:b]), text[a:b]) for a, b in zip([0, *ends], ends)]
-                near = dict(_encoded(joiner, {k: t for k, t in spans if k not in far}))
+                near = _encoded(joiner, {k: t for k, t in spans if k not in far})
                 pieces = [near[k] if k in near else _unpacked(*far[k]) for k, _ in spans]
                 results[name] = digests(joiner(text, ends, pieces))
             types = [part.schema.field("id").type, pa.int64(), pa.string(), pa.string()]

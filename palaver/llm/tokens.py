@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 
 def tokenizer_path(name: str) -> str:
@@ -36,3 +37,80 @@ def tokenizer(name: str):
         tok.no_padding()
         loaded[name] = tok
     return loaded[name]
+
+
+#: Normalizers that change a text word by word, and never across a blank.
+_WORDWISE = {"NFC", "NFD", "Lowercase", "StripAccents"}
+
+
+def splits_at_blanks(tok) -> bool:
+    """Whether a text's ids are those of its words between blanks, one after another.
+
+    That is so if blanks are dropped, not kept in tokens, and neither a normalizer
+    nor a special string reaches across one.
+    """
+    import json
+
+    spec = json.loads(tok.to_str())
+
+    def wordwise(step) -> bool:
+        if step is None or step["type"] in _WORDWISE:
+            return True
+        if step["type"] == "Sequence":
+            return all(map(wordwise, step["normalizers"]))
+        return step["type"] == "Replace" and step["pattern"] == {"Regex": "\\s+"} and step["content"] == " "
+
+    added = [t.content for t in tok.get_added_tokens_decoder().values()]
+    if not wordwise(spec["normalizer"]) or any(c.isspace() for t in added for c in t) or tok.pre_tokenizer is None:
+        return False
+    if any(t["lstrip"] or t["rstrip"] for t in spec["added_tokens"]):
+        return False
+    # No character but blanks next to them may make a difference, whatever its class.
+    sample = ["a", "Z", "é", "日", "7", "!", "'s", "_", "<", "\u0301", "\U0001f600", "\x85", "\x1c"]
+    split = lambda t: [piece for piece, _ in tok.pre_tokenizer.pre_tokenize_str(t)]
+    return split(" ") == split("\n") == [] and all(
+        split(f"{a}{gap}{b}") == split(a) + split(b) for a in sample for b in sample for gap in (" ", "\n", " \n ")
+    )
+
+
+#: Letters and then marks, without quotes and angle brackets: two pre-tokens for most vocabularies of words.
+_SIMPLE = re.compile(r"([A-Za-z]+)([!-&(-/:;=?@\[-`{-~]*)")
+
+
+class WordIds:
+    """Ids of words between blanks. Simple ASCII words go straight to the model, if the tokenizer treats them simply."""
+
+    def __init__(self, tok):
+        self.tok, self.marks = tok, {"": []}
+        self.simple = self._simple()
+
+    def _simple(self) -> bool:
+        """Whether a simple word is its letters in lower case and its marks, each a pre-token as it stands."""
+        tok, letters = self.tok, "abcdefghijklmnopqrstuvwxyz"
+        marks = [chr(k) for k in range(33, 127) if _SIMPLE.fullmatch("a" + chr(k)) and not chr(k).isalpha()]
+        if any(_SIMPLE.fullmatch("a" + t.content) for t in tok.get_added_tokens_decoder().values()):
+            return False
+        if tok.normalizer is None or tok.normalizer.normalize_str(letters.upper() + "".join(marks)) != letters + "".join(marks):
+            return False
+        split = lambda t: [piece for piece, _ in tok.pre_tokenizer.pre_tokenize_str(t)]
+        return split(letters) == [letters] and all(split(f"ab{a}{b}") == ["ab", a + b] for a in marks for b in marks)
+
+    def __call__(self, words: list[str]) -> list[list[int]]:
+        out, rest = [None] * len(words), []
+        model = self.tok.model.tokenize
+        for k, word in enumerate(words):
+            found = _SIMPLE.fullmatch(word) if self.simple else None
+            if found is None:
+                rest.append(k)
+                continue
+            head, tail = found.groups()
+            if tail not in self.marks:
+                if len(self.marks) > 100_000:
+                    self.marks = {"": []}
+                self.marks[tail] = [t.id for t in model(tail)]
+            out[k] = [t.id for t in model(head.lower())] + self.marks[tail]
+        for at in range(0, len(rest), 4096):
+            part = rest[at : at + 4096]
+            for k, e in zip(part, self.tok.encode_batch_fast([words[k] for k in part], add_special_tokens=False)):
+                out[k] = e.ids
+        return out

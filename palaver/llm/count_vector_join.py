@@ -12,9 +12,15 @@ share one. Shingles that many texts hold come last in that order, so buckets sta
 small; which ones do is an estimate and bears on speed only.
 
 Groups of copies are never expanded into pairs. Equal sets are one class from the
-start. In each bucket every class is first compared with one leader; what these
-links join is one component, and the trees then look for pairs of different
-components only. A link left out lies within a component already found.
+start. Then, in a few rounds, every class is compared with one class of another
+component that leads one of its buckets; what these links join is one component,
+and the trees then look for pairs of different components only. A link left out
+lies within a component already found.
+
+A pair may meet in many buckets. Each class carries the first few of its buckets,
+and a pair is listed only where no earlier one is in both lists, so nearly every pair is listed once.
+Nodes of the tree hold neighbouring groups added up; pairs of points that pass these
+are tested again on the fine groups, where chance hides little.
 
 A bucket beyond ``BLOCK_ROWS`` rows or ``BLOCK_CELLS`` counts is cut into blocks of
 one width, ordered by component and size. Each block has one box; pairs of blocks
@@ -39,16 +45,18 @@ from palaver.llm.components import components
 
 SHINGLE_WORDS = 5
 MIN_PERCENT = 75
-#: Shingles in a group, on average; groups are 2^bits.
-GROUP_MEAN, MIN_BITS, MAX_BITS = 8, 4, 14
+#: Shingles in a group, on average; groups are 2^bits. Nodes of trees hold the sums of COARSE groups.
+GROUP_MEAN, MIN_BITS, MAX_BITS, COARSE = 1, 4, 14, 8
 #: The most frequent shingles, ordered last: at most this many (hash, count) pairs go to the driver and to tasks.
-FREQUENT = 65_536
-FREQUENT_IN_CHUNK = 16
+FREQUENT = 262_144
+FREQUENT_IN_CHUNK = 4
 CHUNK_HASHES = 1_000_000
 LEAF = 32
 #: What one task holds of a bucket: larger ones are cut into blocks. Cells are rows times groups.
 BLOCK_ROWS, BLOCK_CELLS = 1024, 1 << 21
 PAIRS_IN_BATCH = 65_536
+#: Rounds of comparing with one leader, and buckets that a class carries; both bear on speed only.
+STAR_ROUNDS, EARLY = 2, 12
 ID_BITS = 20
 
 PIECE_BYTES = 1 << 20
@@ -126,7 +134,7 @@ def _digest(hashes) -> bytes:
 
 
 def group_bits(n: int) -> int:
-    """Groups grow with the set, about eight shingles each: with fewer, chance alone would hide what differs."""
+    """Groups grow with the set, about one shingle each: with more, chance alone would hide what differs."""
     return min(max((max(n, 1) // GROUP_MEAN).bit_length(), MIN_BITS), MAX_BITS)
 
 
@@ -138,6 +146,17 @@ def count_vector(hashes):
     return np.bincount((hashes >> np.uint64(64 - bits)).astype("i8"), minlength=1 << bits).astype("<u4")
 
 
+def packed(point) -> bytes:
+    """A byte for each count as long as that holds them all; the first byte tells the width."""
+    return b"1" + point.astype("u1").tobytes() if point.max(initial=0) < 256 else b"4" + point.astype("<u4").tobytes()
+
+
+def unpacked(vec: bytes):
+    import numpy as np
+
+    return np.frombuffer(vec, "u1" if vec[:1] == b"1" else "<u4", offset=1).astype("<u4")
+
+
 def folded(point, groups: int):
     """The same point over fewer groups: neighbours added up."""
     return point if len(point) == groups else point.reshape(groups, -1).sum(1)
@@ -174,7 +193,7 @@ def _signatures(docs: DataFrame, size: int) -> DataFrame:
                 hashes = shingled(text)
                 digest = _digest(hashes) if len(hashes) else None
                 c = int.from_bytes(digest[:8], "little", signed=True) if digest else None
-                rows.append((key, len(hashes), digest, c, count_vector(hashes).tobytes() if digest else None, None, None))
+                rows.append((key, len(hashes), digest, c, packed(count_vector(hashes)) if digest else None, None, None))
                 held.append(hashes)
                 total += len(hashes)
                 if total >= CHUNK_HASHES:
@@ -188,13 +207,8 @@ def _signatures(docs: DataFrame, size: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(signed, schema)
 
 
-def _postings(docs: DataFrame, size: int, percent: int, frequent: list[tuple[int, int]]) -> DataFrame:
-    """(shingle, c): the prefix of each set, once for each set and task."""
-    import numpy as np
-
-    often = np.array(sorted(h & (2**64 - 1) for h, _ in frequent), "u8")
-    by_hash = {h & (2**64 - 1): n for h, n in frequent}
-    times = np.array([by_hash[h] for h in often.tolist()], "i8")
+def _postings(docs: DataFrame, size: int, percent: int, often, times) -> DataFrame:
+    """(shingle, c): the prefix of each set, once for each set and task. ``often`` are frequent shingles in order, ``times`` how often."""
 
     def posted(batches):
         import numpy as np
@@ -246,7 +260,7 @@ def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
             a, b, n_a, n_b = (batch.column(k).to_numpy() for k in range(4))
             least = []
             for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist()):
-                x, y = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
+                x, y = unpacked(x), unpacked(y)
                 groups = min(len(x), len(y))
                 least.append(int(np.minimum(folded(x, groups), folded(y, groups)).sum()))
             good = _enough(np.array(least, "i8"), n_a, n_b, percent)
@@ -300,7 +314,9 @@ class CountTree:
     def __init__(self, points, sizes, comp=None):
         import numpy as np
 
-        self.points, self.sizes, self.np = points.astype("i4"), sizes, np
+        self.fine, self.sizes, self.np = points.astype("i4"), sizes, np
+        width = points.shape[1]
+        self.points = self.fine.reshape(len(points), -1, COARSE).sum(2) if width >= 4 * COARSE else self.fine
         self.comp = np.arange(len(sizes)) if comp is None else comp
         self.root = self._build(np.arange(len(sizes)))
 
@@ -339,6 +355,10 @@ class CountTree:
                 i, j = a[3][i], b[3][j]
                 if a is b:
                     i, j = i[i < j], j[i < j]
+                if len(i):
+                    shared = np.minimum(self.fine[i], right_.fine[j]).sum(1)
+                    good = _enough(shared, self.sizes[i], right_.sizes[j], percent)
+                    i, j = i[good], j[good]
                 if len(i):
                     yield i, j
             elif a is b:
@@ -350,35 +370,52 @@ class CountTree:
                 stack += [(a, x) for x in b[4]]
 
 
-def _close(percent: int, side, ids, comp, lead, n, vec) -> Iterator[tuple]:
+def _first_met(bucket: int, early, i, j):
+    """Whether no bucket before this one is in both lists; ``early`` has a sorted row for each class."""
+    import numpy as np
+
+    out = np.ones(len(i), bool)
+    for at in range(0, len(i), 8192):
+        x, y = early[i[at : at + 8192]], early[j[at : at + 8192]]
+        out[at : at + 8192] = ~((x[:, :, None] == y[:, None, :]) & (x < bucket)[:, :, None]).any((1, 2))
+    return out
+
+
+def _close(percent: int, bucket: int, side, ids, comp, n, vec, early) -> Iterator[tuple]:
     """Arrays (x, y) of the ids of pairs: within one block, or, where ``side`` has both 0 and 1, between two."""
     import numpy as np
 
-    points = [np.frombuffer(v, "<u4") for v in vec]
+    points = [unpacked(v) for v in vec]
     groups = np.array([len(p) for p in points])
+    first = np.full((len(ids), EARLY), np.iinfo("i8").max)
+    for k, buckets in enumerate(early):
+        first[k, : len(buckets)] = buckets
     tree = lambda rows, width: CountTree(np.stack([folded(points[k], width) for k in rows]), n[rows], comp[rows])
-    # Pairs with the leader have been looked at before.
+
+    def listed(i, j):
+        new = _first_met(bucket, first, i, j)
+        return ids[i[new]], ids[j[new]]
+
     if side.any():
-        one, two = np.flatnonzero((side == 0) & ~lead), np.flatnonzero((side == 1) & ~lead)
+        one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         if len(one) and len(two):
             width = int(groups.min())
             for i, j in tree(one, width).pairs(percent, tree(two, width)):
-                yield ids[one[i]], ids[two[j]]
+                yield listed(one[i], two[j])
         return
-    rest = ~lead
     for width in np.unique(groups).tolist():
         # Partners have as many groups, or twice as many: their sizes differ by less than a factor of two.
-        rows = np.flatnonzero(((groups == width) | (groups == 2 * width)) & rest)
+        rows = np.flatnonzero((groups == width) | (groups == 2 * width))
         if len(rows) < 2:
             continue
         for i, j in tree(rows, width).pairs(percent):
             i, j = rows[i], rows[j]
             own = np.minimum(groups[i], groups[j]) == width
-            yield ids[i[own]], ids[j[own]]
+            yield listed(i[own], j[own])
 
 
 def _tree_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components by trees, for each task (bucket, a, b); rows (bucket, a, b, side, id, comp, lead, n, vec)."""
+    """Pairs of different components by trees, for each task (bucket, a, b); rows (bucket, a, b, side, id, comp, n, vec, early)."""
 
     def found(batches):
         import numpy as np
@@ -396,13 +433,14 @@ def _tree_pairs(rows: DataFrame, percent: int) -> DataFrame:
             return [0, *(np.flatnonzero(np.any([np.diff(k) != 0 for k in keys], 0)) + 1).tolist()]
 
         def emitted(table):
-            ids, comp, n, lead, side = (table.column(k).to_numpy() for k in ("id", "comp", "n", "lead", "side"))
-            vec, out = table.column("vec"), []
+            ids, comp, n, side, bucket = (table.column(k).to_numpy() for k in ("id", "comp", "n", "side", "bucket"))
+            vec, early, out = table.column("vec"), table.column("early"), []
             cuts = [*starts(table), len(ids)]
             for s, e in zip(cuts, cuts[1:]):
                 if e - s < 2:
                     continue
-                for x, y in _close(percent, side[s:e], ids[s:e], comp[s:e], lead[s:e], n[s:e], vec.slice(s, e - s).to_pylist()):
+                held = [c[s:e] for c in (side, ids, comp, n)] + [c.slice(s, e - s).to_pylist() for c in (vec, early)]
+                for x, y in _close(percent, int(bucket[s]), *held):
                     for pair in zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist()):
                         if pair not in seen:
                             seen.add(pair)
@@ -426,7 +464,7 @@ def _tree_pairs(rows: DataFrame, percent: int) -> DataFrame:
         if held is not None:
             yield from emitted(held)
 
-    dealt = rows.select("bucket", "a", "b", "side", "id", "comp", "lead", "n", "vec")
+    dealt = rows.select("bucket", "a", "b", "side", "id", "comp", "n", "vec", "early")
     dealt = dealt.repartition("bucket", "a", "b").sortWithinPartitions("bucket", "a", "b")
     return dealt.mapInArrow(found, "a long, b long").distinct()
 
@@ -439,12 +477,12 @@ def _boxes(blocks: DataFrame) -> DataFrame:
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        top = np.max([np.frombuffer(v, "<u4") for v in table.column("vec").to_pylist()], 0)
+        top = np.max([unpacked(v) for v in table.column("vec").to_pylist()], 0)
         first = lambda k: table.column(k)[0].as_py()
         row = {"bucket": first("bucket"), "block": first("block"), "groups": first("groups")}
         for k, (low, high) in {"comp": ("lo", "hi"), "n": ("least", "most")}.items():
             row[low], row[high] = pc.min_max(table.column(k)).as_py().values()
-        return pa.Table.from_pylist([{**row, "box": top.astype("<u4").tobytes()}])
+        return pa.Table.from_pylist([{**row, "box": packed(top)}])
 
     schema = "bucket long, block long, groups long, lo long, hi long, least long, most long, box binary"
     rows = blocks.select("bucket", "block", "groups", "comp", "n", "vec")
@@ -464,7 +502,7 @@ def _block_pairs(boxes: DataFrame, percent: int) -> DataFrame:
                 continue
             least = []
             for x, y in zip(batch.column("box_a").to_pylist(), batch.column("box_b").to_pylist()):
-                x, y = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
+                x, y = unpacked(x), unpacked(y)
                 groups = min(len(x), len(y))
                 # Folded boxes hold folded points.
                 least.append(int(np.minimum(folded(x, groups), folded(y, groups)).sum()))
@@ -481,15 +519,17 @@ def _block_pairs(boxes: DataFrame, percent: int) -> DataFrame:
 
 
 def _dealt(members: DataFrame, points: DataFrame, percent: int) -> DataFrame:
-    """The rows of ``_tree_pairs`` for (bucket, id, comp, lead, n, groups): a small bucket is one task, a large one goes by pairs of blocks."""
+    """The rows of ``_tree_pairs`` for (bucket, id, comp, n, groups): a small bucket is one task, a large one goes by pairs of blocks."""
     cells = F.count("*") * F.max("groups")
     sizes = members.groupBy("bucket").agg(
         F.min("comp").alias("lo"), F.max("comp").alias("hi"), ((F.count("*") > BLOCK_ROWS) | (cells > BLOCK_CELLS)).alias("large")
     )
     open_ = stored(members.join(sizes.where("lo < hi").select("bucket", "large"), "bucket"), "open")
-    points = points.select("id", "vec")
+    # A class is in no more buckets than its prefix has shingles.
+    early = open_.groupBy("id").agg(F.slice(F.array_sort(F.collect_set("bucket")), 1, EARLY).alias("early"))
+    points = stored(points.select("id", "vec").join(early, "id"), "open-points")
     small = open_.where("not large").join(points, "id").selectExpr(
-        "bucket", "-1L as a", "-1L as b", "0 as side", "id", "comp", "lead", "n", "vec"
+        "bucket", "-1L as a", "-1L as b", "0 as side", "id", "comp", "n", "vec", "early"
     )
     large = open_.where("large")
     if large.isEmpty():
@@ -507,13 +547,25 @@ def _dealt(members: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     return small.union(blocks.join(sides, ["bucket", "block"]).select(*small.columns))
 
 
+def _stars(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(a, b): each class b that shares a bucket with another component, and one leader a of such a bucket."""
+    held = members.join(labels.select("id", "comp"), "id")
+    leads = held.groupBy("bucket").agg(F.min(F.struct("comp", "id")).alias("lead"), F.max("comp").alias("hi")).where("lead.comp < hi")
+    others = held.join(leads, "bucket").where("comp <> lead.comp")
+    return others.groupBy(F.col("id").alias("b")).agg(F.min("lead.id").alias("a")).select("a", "b")
+
+
 def near_duplicates(
     docs: DataFrame, *, shingle_words: int = SHINGLE_WORDS, min_percent: int = MIN_PERCENT, frequent: int = FREQUENT
 ) -> DataFrame:
     """doc_id, n_shingles, component_id: documents linked by Jaccard of min_percent or more, in components."""
+    import numpy as np
+
     signed = stored(_signatures(docs, shingle_words), "signatures")
     often = signed.where("hash is not null").groupBy("hash").agg(F.sum("count").alias("n"))
-    last = [(r[0], r[1]) for r in often.orderBy(F.desc("n"), "hash").limit(frequent).collect()]
+    last = often.orderBy(F.desc("n"), "hash").limit(frequent).toArrow()
+    hashes, times = last.column("hash").to_numpy().astype("i8").view("u8"), last.column("n").to_numpy().astype("i8")
+    order = np.argsort(hashes)
     sigs = signed.where("hash is null")
     # Copies of one set meet as one row for each task.
     rep = F.min(F.struct("doc_id", "c", "n", "vec")).alias("rep")
@@ -522,32 +574,27 @@ def near_duplicates(
     # Texts that share a passage share many shingles: buckets with the same classes become one.
     of_shingle = "over (partition by shingle)"
     same = f"xxhash64(bit_xor(xxhash64(c)) {of_shingle}, sum(c & 2147483647) {of_shingle}, count(*) {of_shingle})"
-    shared = stored(
-        _postings(docs, shingle_words, min_percent, last)
-        .selectExpr("c", f"min(c) {of_shingle} as leader", f"max(c) {of_shingle} as last", f"{same} as bucket")
-        .where("leader < last")
-        .select("bucket", "c", "leader")
-        .distinct(),
-        "buckets",
+    shared = (
+        _postings(docs, shingle_words, min_percent, hashes[order], times[order])
+        .selectExpr("c", f"min(c) {of_shingle} as least", f"max(c) {of_shingle} as last", f"{same} as bucket")
+        .where("least < last")
+        .select("bucket", "c")
+        .distinct()
     )
-    points = classes.select("id", "c", "n", "vec")
+    points = classes.select("id", "n", "vec")
+    members = stored(shared.join(classes.select("c", "id"), "c").select("bucket", "id"), "buckets")
 
-    # Each class against the leaders of its buckets.
-    stars = shared.where("c <> leader").select("c", "leader").distinct()
-    of = lambda name: classes.select(F.col("c").alias(name), F.col("id").alias(f"{name}_id"))
-    stars = stars.join(of("c"), "c").join(of("leader"), "leader").select(F.col("leader_id").alias("a"), F.col("c_id").alias("b"))
-    links = stored(_verified(_bounded(stars, points, min_percent), docs, shingle_words, min_percent), "links")
-    joined = components(links)
+    labels, links = points.select("id", F.col("id").alias("comp")), None
+    for _ in range(STAR_ROUNDS):
+        found = stored(_verified(_bounded(_stars(members, labels), points, min_percent), docs, shingle_words, min_percent), "links")
+        links = found if links is None else links.union(found)
+        joined = components(links)
+        labels = stored(points.select("id").join(joined, "id", "left").select("id", F.coalesce("component", "id").alias("comp")), "labels")
 
     # Pairs of components that meet in a bucket.
-    comp = stored(
-        points.select("id", "c", "n", (F.octet_length("vec") / 4).cast("long").alias("groups"))
-        .join(joined, "id", "left")
-        .select("id", "c", "n", "groups", F.coalesce("component", "id").alias("comp")),
-        "labels",
-    )
-    members = shared.join(comp, "c").withColumn("lead", F.col("c") == F.col("leader")).drop("c", "leader")
-    rows = _dealt(members, points, min_percent)
+    groups = (F.octet_length("vec") - 1) / F.when(F.substring("vec", 1, 1) == F.lit(b"1"), 1).otherwise(4)
+    sized = labels.join(points.select("id", "n", groups.cast("long").alias("groups")), "id")
+    rows = _dealt(members.join(sized, "id"), points, min_percent)
     more = _verified(_tree_pairs(rows, min_percent), docs, shingle_words, min_percent)
     final = components(links.union(more))
 

@@ -26,7 +26,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palaver.llm.common import SEPARATORS, WORD, let, ranked, stored, word_count
+from palaver.llm.common import SEPARATORS, WORD, held, let, ranked, released, stored, word_count
 
 WEIGHTS = (5, 2, 1)
 SHARE_PERCENT = 150
@@ -218,13 +218,19 @@ def _partial(block_words: int) -> Column:
 def mixed_texts(docs: DataFrame, mixed: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The documents as the mix reads them: a row for each whole round, and one with the words of taken blocks.
 
-    Columns are those of ``docs``; ``n_chars`` is set to the new text's length.
+    Columns are those of ``docs``; ``n_chars`` is set to the new text's length. Rows
+    alike in doc_id, source and text are all read as the first of them in the shard is.
     """
-    key = mixed.select(
-        F.col("doc_id").alias("_id"), F.col("text_md5").alias("_md5"), "size", "taken", "rounds", "picked", "blocks", "phase", "start"
-    ).dropDuplicates(["_id", "_md5"])
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.md5(F.coalesce("text", F.lit(""))) == F.col("_md5"))
-    rows = docs.join(key, same).where(F.col("taken") > 0)
+    names = ("start", "size", "taken", "rounds", "picked", "blocks", "phase")
+    key = mixed.groupBy("doc_id", "source", "text_md5").agg(F.min(F.struct(*names)).alias("plan"))
+    key = key.where("plan.taken > 0").select("doc_id", "source", "text_md5", "plan.*")
+    doc = F.col("doc")
+    same = (
+        doc["doc_id"].eqNullSafe(F.col("doc_id"))
+        & (F.md5(F.coalesce(doc["text"], F.lit(""))) == F.col("text_md5"))
+        & doc["source"].eqNullSafe(F.col("source"))
+    )
+    rows = held(docs).join(key, same).withColumn("text", doc["text"])
     start, end = F.col("start"), F.col("start") + F.col("size")
     first, last = F.floor(start / block_words), F.floor((end - 1) / block_words)
     words = F.regexp_extract_all("text", F.lit(f"{SEPARATORS[:-1]}*{WORD}"), F.lit(0))
@@ -241,6 +247,7 @@ def mixed_texts(docs: DataFrame, mixed: DataFrame, block_words: int = BLOCK_WORD
         F.array_repeat("text", F.col("rounds").cast("int")), F.when(rest > 0, F.array("_part")).otherwise(F.array())
     )
     rows = rows.withColumn("text", F.explode(copies))
+    changed = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+        changed["n_chars"] = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+    return rows.select(*released(docs, **changed))

@@ -10,7 +10,8 @@ sequence or so behind, a few thousandths of a percent.
 
 Defined cases: null text counts as empty and becomes one piece with the separator
 alone; an empty table gives no rows; rows that repeat are packed as often as they
-come; ties in length are ordered by id, piece and checksum.
+come; ties in length are ordered by id, piece and checksum. Vocabularies that keep
+blanks in their tokens are encoded by the library, all others by words.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palaver.llm.tokens import tokenizer, worker_cache
+from palaver.llm.tokens import splits_at_blanks, tokenizer, worker_cache
 
 VOCABULARY = "word_bpe_49k.json"
 CAPACITY = 2048
@@ -61,6 +62,17 @@ class WordEncoder:
         return b"".join([self.known[w] for w in words])
 
 
+class LibraryEncoder:
+    """Ids of whole texts by the library, for all other vocabularies."""
+
+    def __init__(self, tok, known: dict | None = None):
+        self.tok = tok
+
+    def __call__(self, text: str) -> bytes:
+        ids = self.tok.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+
 def pieces(
     docs: DataFrame,
     *,
@@ -77,7 +89,9 @@ def pieces(
         import numpy as np
         import pyarrow as pa
 
-        encode = WordEncoder(tokenizer(vocabulary), worker_cache(f"words of {vocabulary}"))
+        tok = tokenizer(vocabulary)
+        by_words = splits_at_blanks(tok)
+        encode = (WordEncoder if by_words else LibraryEncoder)(tok, worker_cache(f"words of {vocabulary}"))
         end = struct.pack("<I", separator)
         for batch in batches:
             rows = []
@@ -157,7 +171,13 @@ def pack(
     """Give every row a sequence_id and its offset in there. Lengths must lie within 0 and capacity.
 
     ``rows`` is read twice (once to count), so store it first if it is costly.
+    Columns named sequence_id or offset are replaced. Rows are dealt by what they
+    hold and where they are read, so that equal ones spread over the shards too.
     """
+    rows = rows.drop("sequence_id", "offset")
+    number = "shard"
+    while number in rows.columns:
+        number += "_"
     shards = max(1, round(rows.count() / shard_pieces))
     tie = [c for c in (id_col, "piece", "ids_crc32") if c in rows.columns]
 
@@ -166,13 +186,14 @@ def pack(
         bins, offsets = best_fit_decreasing(frame[length_col].tolist(), capacity)
         frame["sequence_id"] = [key[0] * (1 << 32) + b for b in bins]
         frame["offset"] = offsets
-        return frame.drop(columns="_shard")
+        return frame.drop(columns=number)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    shard = F.pmod(F.xxhash64(*[F.col(c) for c in (tie or rows.columns)]), F.lit(shards))
+    key = [F.col(f"`{c}`") for c in (tie or rows.columns)]
+    shard = F.pmod(F.xxhash64(*key, F.monotonically_increasing_id()), F.lit(shards))
     return (
-        rows.withColumn("_shard", shard.cast("long"))
-        .groupBy("_shard")
+        rows.withColumn(number, shard.cast("long"))
+        .groupBy(number)
         .applyInPandas(packed, f"{fields}, sequence_id long, offset long")
     )
 

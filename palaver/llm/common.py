@@ -39,6 +39,16 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def held(docs: DataFrame) -> DataFrame:
+    """All columns inside one, ``doc``: columns that are put beside it clash with no name."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+
+
+def released(docs: DataFrame, **changed: Column) -> list[Column]:
+    """The columns of ``docs`` out of ``doc``, some of them with a new value."""
+    return [changed.get(c, F.col("doc")[c]).alias(c) for c in docs.columns]
+
+
 def let(value: Column, then) -> Column:
     """``then`` of a value that is computed once; a column used inside a lambda could be computed for each element."""
     return F.get(F.transform(F.array(value), then), F.lit(0))

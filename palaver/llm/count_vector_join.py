@@ -40,7 +40,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palaver.llm.common import ranked, stored
+from palaver.llm.common import held, ranked, released, stored
 from palaver.llm.components import components
 
 SHINGLE_WORDS = 5
@@ -147,14 +147,14 @@ def count_vector(hashes):
 
 
 def packed(point) -> bytes:
-    """A byte for each count as long as that holds them all; the first byte tells the width."""
-    return b"1" + point.astype("u1").tobytes() if point.max(initial=0) < 256 else b"4" + point.astype("<u4").tobytes()
+    """Four bytes for each count, or, if a byte holds them all, one for each and one in front: an odd length tells."""
+    return b"\0" + point.astype("u1").tobytes() if point.max(initial=0) < 256 else point.astype("<u4").tobytes()
 
 
 def unpacked(vec: bytes):
     import numpy as np
 
-    return np.frombuffer(vec, "u1" if vec[:1] == b"1" else "<u4", offset=1).astype("<u4")
+    return np.frombuffer(vec, "u1", offset=1).astype("<u4") if len(vec) % 2 else np.frombuffer(vec, "<u4")
 
 
 def folded(point, groups: int):
@@ -174,8 +174,8 @@ def _signatures(docs: DataFrame, size: int) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        names = ["doc_id", "n", "digest", "c", "vec", "hash", "count"]
-        types = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
+        names = ["doc_id", "text_md5", "n", "digest", "c", "vec", "hash", "count"]
+        types = [pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
         held, total, shingled = [], 0, Shingler(size)
 
         def frequent():
@@ -184,16 +184,16 @@ def _signatures(docs: DataFrame, size: int) -> DataFrame:
             hashes, counts = np.unique(np.concatenate(held), return_counts=True)
             often = counts >= FREQUENT_IN_CHUNK
             n = int(often.sum())
-            columns = [pa.nulls(n, t) for t in types[:5]] + [pa.array(hashes[often].astype("i8")), pa.array(counts[often])]
+            columns = [pa.nulls(n, t) for t in types[:6]] + [pa.array(hashes[often].astype("i8")), pa.array(counts[often])]
             return pa.RecordBatch.from_arrays(columns, names)
 
         for batch in batches:
             rows = []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for key, text, name in zip(*[column.to_pylist() for column in batch.columns]):
                 hashes = shingled(text)
                 digest = _digest(hashes) if len(hashes) else None
                 c = int.from_bytes(digest[:8], "little", signed=True) if digest else None
-                rows.append((key, len(hashes), digest, c, packed(count_vector(hashes)) if digest else None, None, None))
+                rows.append((key, name, len(hashes), digest, c, packed(count_vector(hashes)) if digest else None, None, None))
                 held.append(hashes)
                 total += len(hashes)
                 if total >= CHUNK_HASHES:
@@ -203,8 +203,8 @@ def _signatures(docs: DataFrame, size: int) -> DataFrame:
         if held:
             yield frequent()
 
-    schema = "doc_id long, n long, digest binary, c long, vec binary, hash long, count long"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(signed, schema)
+    schema = "doc_id long, text_md5 string, n long, digest binary, c long, vec binary, hash long, count long"
+    return docs.select(F.col("doc_id").cast("long"), "text", F.md5(F.coalesce("text", F.lit("")))).mapInArrow(signed, schema)
 
 
 def _postings(docs: DataFrame, size: int, percent: int, often, times) -> DataFrame:
@@ -555,10 +555,15 @@ def _stars(members: DataFrame, labels: DataFrame) -> DataFrame:
     return others.groupBy(F.col("id").alias("b")).agg(F.min("lead.id").alias("a")).select("a", "b")
 
 
-def near_duplicates(
+def near_duplicates(docs: DataFrame, **settings) -> DataFrame:
+    """doc_id, n_shingles, component_id: documents linked by Jaccard of min_percent or more, in components."""
+    return named_rows(docs, **settings).drop("text_md5")
+
+
+def named_rows(
     docs: DataFrame, *, shingle_words: int = SHINGLE_WORDS, min_percent: int = MIN_PERCENT, frequent: int = FREQUENT
 ) -> DataFrame:
-    """doc_id, n_shingles, component_id: documents linked by Jaccard of min_percent or more, in components."""
+    """The rows of ``near_duplicates`` with their texts' digests, text_md5."""
     import numpy as np
 
     signed = stored(_signatures(docs, shingle_words), "signatures")
@@ -592,7 +597,8 @@ def near_duplicates(
         labels = stored(points.select("id").join(joined, "id", "left").select("id", F.coalesce("component", "id").alias("comp")), "labels")
 
     # Pairs of components that meet in a bucket.
-    groups = (F.octet_length("vec") - 1) / F.when(F.substring("vec", 1, 1) == F.lit(b"1"), 1).otherwise(4)
+    long = F.octet_length("vec")
+    groups = F.when(long % 2 == 1, long - 1).otherwise(long / 4)
     sized = labels.join(points.select("id", "n", groups.cast("long").alias("groups")), "id")
     rows = _dealt(members.join(sized, "id"), points, min_percent)
     more = _verified(_tree_pairs(rows, min_percent), docs, shingle_words, min_percent)
@@ -600,15 +606,34 @@ def near_duplicates(
 
     named = classes.join(final, "id", "left").select("digest", F.coalesce("component", "id").alias("comp"))
     return sigs.join(named, "digest", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("comp")).otherwise(F.col("doc_id")).alias("component_id")
+        "doc_id", "text_md5", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("comp")).otherwise(F.col("doc_id")).alias("component_id")
     )
 
 
 def representatives(docs: DataFrame, **settings) -> DataFrame:
-    """One document of each component, the one with the least id, with all its columns."""
-    named = near_duplicates(docs, **settings)
-    chosen = named.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    """One row of each component, of the document with the least id, with all its columns.
+
+    Of several rows of that document the one with the least digest of its text
+    stays, and of equal ones one. Rows without an id are no document's: one of each text
+    stays unless a document has a set like it.
+    """
+    named = named_rows(docs, **settings)
+    none = F.col("doc_id").isNull()
+    chosen = named.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    # A row of short values for each document; those that stand for several rows are told apart.
+    chosen = stored(
+        chosen.groupBy("doc_id", F.when(none, F.col("text_md5")).alias("of_none"))
+        .agg(F.min("text_md5").alias("text_md5"), F.count("*").alias("rows"))
+        .drop("of_none"),
+        "chosen",
+    )
+    doc = F.col("doc")
+    same = doc["doc_id"].cast("long").eqNullSafe(F.col("doc_id")) & (F.md5(F.coalesce(doc["text"], F.lit(""))) == F.col("text_md5"))
+    single = held(docs).join(chosen.where("rows = 1"), same, "left_semi")
+    several = held(docs).join(chosen.where("rows > 1"), same)
+    mark = F.xxhash64(F.to_json("doc"))
+    several = several.groupBy("doc_id", "text_md5").agg(F.min_by("doc", mark).alias("doc")).select("doc")
+    return single.union(several).select(*released(docs))
 
 
 ORACLE = r"""

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palaver.llm.common import WORD, let, stored
+from palaver.llm.common import WORD, held, let, released, stored
 
 WINDOW = 3
 
@@ -57,41 +57,46 @@ def repeated_windows(docs: DataFrame, lines: int = WINDOW) -> DataFrame:
     return later.groupBy("doc_id", "text_md5").agg(F.collect_set("i").alias("starts"))
 
 
-def dedup_lines(docs: DataFrame, lines: int = WINDOW) -> DataFrame:
-    """``docs`` with repeated windows cut out of ``text``, and n_lines, n_removed beside."""
-    found = repeated_windows(docs, lines).select(
-        F.col("doc_id").alias("_id"), F.col("text_md5").alias("_md5"), F.col("starts").alias("_starts")
-    )
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.md5("text") == F.col("_md5"))
+def _cut(docs: DataFrame, lines: int) -> DataFrame:
+    """doc (all columns of ``docs``), text, n_lines and n_removed."""
+    found = repeated_windows(docs, lines)
+    doc = F.col("doc")
+    same = doc["doc_id"].eqNullSafe(F.col("doc_id")) & (F.md5(doc["text"]) == F.col("text_md5"))
     # Sets of places, not a search for each line: time stays in proportion to the text.
-    marked = F.array_distinct(F.flatten(F.transform("_starts", lambda s: F.sequence(s, s + lines - 1))))
-    everyone = lambda held: F.sequence(F.lit(0), F.size(held) - 1)
-    gone = let(_solid(F.col("text")), lambda n: F.transform(marked, lambda k: F.get(n, k)))
+    marked = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + lines - 1))))
+    everyone = lambda held_: F.sequence(F.lit(0), F.size(held_) - 1)
+    gone = let(_solid(doc["text"]), lambda n: F.transform(marked, lambda k: F.get(n, k)))
     left = let(
-        F.split("text", "\n"),
-        lambda held: F.transform(F.array_except(everyone(held), gone), lambda i: F.get(held, i)),
+        F.split(doc["text"], "\n"),
+        lambda held_: F.transform(F.array_except(everyone(held_), gone), lambda i: F.get(held_, i)),
     )
-    cut = F.col("_starts").isNotNull()
-    rows = docs.join(found, same, "left").withColumn("_left", F.when(cut, left))
-    count = F.size(F.split("text", "\n"))
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(count).cast("long")
-    return (
-        rows.withColumn("n_lines", n_lines)
-        .withColumn("n_removed", F.when(cut, count - F.size("_left")).otherwise(0).cast("long"))
-        .withColumn("text", F.when(cut, F.array_join("_left", "\n")).otherwise(F.col("text")))
-        .drop("_id", "_md5", "_starts", "_left")
+    cut = F.col("starts").isNotNull()
+    rows = held(docs).join(found, same, "left").withColumn("left", F.when(cut, left))
+    count = F.size(F.split(doc["text"], "\n"))
+    return rows.select(
+        "doc",
+        F.when(cut, F.array_join("left", "\n")).otherwise(doc["text"]).alias("text"),
+        F.when(doc["text"].isNull(), 0).otherwise(count).cast("long").alias("n_lines"),
+        F.when(cut, count - F.size("left")).otherwise(0).cast("long").alias("n_removed"),
     )
 
 
+def dedup_lines(docs: DataFrame, lines: int = WINDOW) -> DataFrame:
+    """``docs`` with repeated windows cut out of ``text``, and n_lines, n_removed beside (in place of columns so named)."""
+    own = docs.drop("n_lines", "n_removed")
+    return _cut(docs, lines).select(*released(own, text=F.col("text")), "n_lines", "n_removed")
+
+
 def deduplicated_documents(docs: DataFrame) -> DataFrame:
     """The same columns; ``n_chars`` follows the text, and texts that lose every line with a word go."""
-    rows = dedup_lines(docs)
+    rows = _cut(docs, WINDOW)
     emptied = (F.col("n_removed") > 0) & ~F.col("text").rlike(WORD)
     rows = rows.where(~F.coalesce(emptied, F.lit(False)))
+    changed = {"text": F.col("text")}
     if "n_chars" in docs.columns:
         length = F.char_length("text").cast(docs.schema["n_chars"].dataType)
-        rows = rows.withColumn("n_chars", F.when(F.col("n_removed") > 0, length).otherwise(F.col("n_chars")))
-    return rows.select(*docs.columns)
+        changed["n_chars"] = F.when(F.col("n_removed") > 0, length).otherwise(F.col("doc")["n_chars"])
+    return rows.select(*released(docs, **changed))
 
 
 ORACLE = r"""

@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palaver.llm.common import WORD, stored
+from palaver.llm.common import WORD, held, released, stored
 
 # Frequent short words of each language.
 COMMON_WORDS = {
@@ -156,7 +156,7 @@ def quality(
     max_class_distance: float = MAX_CLASS_DISTANCE,
     max_word_distance: float = MAX_WORD_DISTANCE,
 ) -> DataFrame:
-    """doc_id, text_md5, base counts, base_failed, class_distance, word_distance, kept."""
+    """doc_id, lang, text_md5, base counts, base_failed, class_distance, word_distance, kept."""
     rows = histograms(base_counts(docs.select("doc_id", "lang", "text")))
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     features = stored(
@@ -174,12 +174,17 @@ def quality(
         .withColumn("word_distance", nearest_distance(F.col("common"), F.col("n_words"), {k: v[1] for k, v in known.items()}))
         .withColumn("base_failed", base)
         .withColumn("kept", ~F.col("base_failed") & ~F.coalesce(far, F.lit(False)))
-        .select("doc_id", "text_md5", *counts, "base_failed", "class_distance", "word_distance", "kept")
+        .select("doc_id", "lang", "text_md5", *counts, "base_failed", "class_distance", "word_distance", "kept")
     )
 
 
 def kept_documents(docs: DataFrame, **settings) -> DataFrame:
     """The documents that ``quality`` keeps, with all their columns."""
-    good = quality(docs, **settings).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_md5").alias("_md5")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.md5(F.coalesce("text", F.lit(""))) == F.col("_md5"))
-    return docs.join(good, same, "left_semi")
+    good = quality(docs, **settings).where("kept").select("doc_id", "lang", "text_md5").distinct()
+    doc = F.col("doc")
+    same = (
+        doc["doc_id"].eqNullSafe(F.col("doc_id"))
+        & (F.md5(F.coalesce(doc["text"], F.lit(""))) == F.col("text_md5"))
+        & doc["lang"].eqNullSafe(F.col("lang"))
+    )
+    return held(docs).join(good, same, "left_semi").select(*released(docs))

@@ -35,6 +35,7 @@ null doc_id takes the component of a set like its own, or null; an empty table g
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -46,7 +47,7 @@ from palaver.llm.components import components
 SHINGLE_WORDS = 5
 MIN_PERCENT = 75
 #: Shingles in a group, on average; groups are 2^bits. Nodes of trees hold the sums of COARSE groups.
-GROUP_MEAN, MIN_BITS, MAX_BITS, COARSE = 1, 4, 14, 8
+GROUP_MEAN, MIN_BITS, MAX_BITS, COARSE = 2, 4, 14, 8
 #: The most frequent shingles, ordered last: at most this many (hash, count) pairs go to the driver and to tasks.
 FREQUENT = 262_144
 FREQUENT_IN_CHUNK = 4
@@ -134,7 +135,7 @@ def _digest(hashes) -> bytes:
 
 
 def group_bits(n: int) -> int:
-    """Groups grow with the set, about one shingle each: with more, chance alone would hide what differs."""
+    """Groups grow with the set, about two shingles each: with more, chance alone would hide what differs."""
     return min(max((max(n, 1) // GROUP_MEAN).bit_length(), MIN_BITS), MAX_BITS)
 
 
@@ -524,7 +525,12 @@ def _dealt(members: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     sizes = members.groupBy("bucket").agg(
         F.min("comp").alias("lo"), F.max("comp").alias("hi"), ((F.count("*") > BLOCK_ROWS) | (cells > BLOCK_CELLS)).alias("large")
     )
-    open_ = stored(members.join(sizes.where("lo < hi").select("bucket", "large"), "bucket"), "open")
+    open_ = members.join(sizes.where("lo < hi").select("bucket", "large"), "bucket")
+    # In a small bucket only those stay that another component's set of a like size is in; large ones see to sizes by blocks.
+    like = math.log(100 / percent) + 1e-9
+    near = f"over (partition by bucket order by ln(n) range between {like} preceding and {like} following)"
+    small = open_.where("not large").selectExpr("*", f"min(comp) {near} < max(comp) {near} as partner").where("partner").drop("partner")
+    open_ = stored(small.union(open_.where("large")), "open")
     # A class is in no more buckets than its prefix has shingles.
     early = open_.groupBy("id").agg(F.slice(F.array_sort(F.collect_set("bucket")), 1, EARLY).alias("early"))
     points = stored(points.select("id", "vec").join(early, "id"), "open-points")

@@ -24,7 +24,7 @@ from palaver.plans import markup, reports, views
 from palaver.sources import pages as P
 from palaver.sources import posts as posts_io
 from palaver.session import scratch_path, spread
-from palaver.streaming.ingest import ingest_pages
+from palaver.streaming.ingest import compact, ingest_pages, ingested_posts, live_posts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -789,9 +789,33 @@ def ingest_incremental(spark, sf_dir):
     for batch, max_turn in enumerate((3, None)):
         pages = views.thread_pages(spark, sf_dir, max_turn)
         P.write_pages(pages, f"{landing}/batch{batch}")
-        posts = ingest_pages(spark, landing, out, packed=True)
-    newest = posts_io.latest_version(posts)
-    return newest.select("thread_id", "post_num", "author", "content")
+        ingest_pages(spark, landing, out, packed=True)
+    return live_posts(spark, out).select("thread_id", "post_num", "author", "content")
+
+
+@query
+def ingest_compacted(spark, sf_dir):
+    """The same table after every third thread was emptied, and without the superseded copies:
+    what is stored then is what is alive."""
+    landing, out = scratch_path(spark, "landing"), scratch_path(spark, "ingested")
+    emptied = F.col("thread_id").cast("long") % 3 == 0
+    for batch, html in enumerate((F.col("html"), F.when(~emptied, F.col("html")).otherwise(""))):
+        P.write_pages(views.thread_pages(spark, sf_dir).withColumn("html", html), f"{landing}/batch{batch}")
+        ingest_pages(spark, landing, out, packed=True)
+    compact(spark, out)
+    return ingested_posts(spark, out).select("thread_id", "post_num", "author", "content")
+
+
+@query
+def quarantined(spark, sf_dir):
+    """Threads whose page is missing, or whose markup breaks off behind the last post."""
+    kind = F.col("thread_id").cast("long") % 7
+    html = F.when(kind == 3, None).when(kind == 5, F.concat("html", F.lit("<![odd["))).otherwise(F.col("html"))
+    pages = views.thread_pages(spark, sf_dir).withColumn("html", html)
+    path = scratch_path(spark, "pages")
+    P.write_pages(pages, path)
+    rows = P.quarantined(P.extract(P.read_packed_pages(spark, path)))
+    return rows.select("thread_id", "page_num", "post_num", F.array_join("problems", ", ").alias("problems"))
 
 
 @query

@@ -531,6 +531,12 @@ _sql("rep_forecast_summary", _outlook_row("evt_page_period"))
 
 # --- incremental ingest
 _sql("ingest_incremental", "SELECT thread_id, post_num, role AS author, content FROM forum")
+_sql("ingest_compacted", """
+    SELECT thread_id, post_num, role AS author, content FROM forum WHERE conv_id % 3 <> 0""")
+_sql("quarantined", """
+    SELECT DISTINCT CAST(conv_id AS VARCHAR) AS thread_id, 1 AS page_num, CAST(NULL AS BIGINT) AS post_num,
+           CASE WHEN conv_id % 7 = 3 THEN 'page: no html' ELSE 'page: broken markup' END AS problems
+    FROM conversations WHERE conv_id % 7 IN (3, 5)""")
 _sql("latest_version", """
     SELECT event_id, user_id, event_type, CAST(floor(value) AS BIGINT) AS version FROM events
     QUALIFY floor(value) = max(floor(value)) OVER (PARTITION BY user_id, event_type)""")

@@ -52,6 +52,18 @@ EXTRACTED_SCHEMA = T.StructType(
     [*POSTS_SCHEMA.fields, T.StructField("problems", _STRINGS)]
 )
 
+# One row for each parsed copy of a page: how many messages it held, and what was wrong.
+PAGES_SCHEMA = T.StructType(
+    [
+        T.StructField("thread_id", T.StringType()),
+        T.StructField("page_num", T.IntegerType()),
+        T.StructField("ingested_at", T.TimestampType()),
+        T.StructField("source_path", T.StringType()),
+        T.StructField("page_messages", T.IntegerType()),
+        T.StructField("problems", _STRINGS),
+    ]
+)
+
 
 def check_posts_columns(df: DataFrame) -> DataFrame:
     """Return ``df`` if it is a posts table, else raise ``ValueError``."""

@@ -23,6 +23,7 @@ BLANKS = " \n\t\f\r"
 BLANK_KEEPING_TAGS = ("pre", "textarea")
 MEDIA_NOTE = "Ansehen auf"
 EMOJI_TEXT = "."
+NO_HTML, BROKEN_MARKUP = "no html", "broken markup"
 # ----------------------------------------------------------------------------
 
 
@@ -52,6 +53,7 @@ class PageNodes(HTMLParser):
         self._counts = {}
         self._hidden = 0
         self._text = []
+        self.cut = frozenset()
 
     def updatepos(self, i, j):
         return j  # nobody asks for line numbers; counting them takes time
@@ -106,12 +108,18 @@ class PageNodes(HTMLParser):
         return node.tag
 
     def finish(self, html):
-        self.feed(html)
-        self.close()
+        """Read a whole page; True if the tokenizer gave up on the way. What came before stays,
+        and ``cut`` holds the numbers of the nodes that were open there."""
+        stopped = False
+        try:
+            self.feed(html)
+            self.close()
+        except AssertionError:
+            stopped, self.cut = True, frozenset(self._open)
         self._end_text()
         while self._open:
             self._close_last()
-        return self.nodes
+        return stopped
 
 
 def _stripped_text(nodes, start, skip_tag=None):
@@ -196,18 +204,24 @@ def _message(nodes, start):
 
 
 def messages_of(html):
-    """Raw record of every message on a page, in page order."""
-    nodes = PageNodes().finish(html)
-    return [
-        _message(nodes, i)
-        for i, node in enumerate(nodes)
+    """Raw record of every message on a page, in page order, and what is wrong with the page, or None."""
+    if html is None:
+        return [], NO_HTML
+    page = PageNodes()
+    problem = BROKEN_MARKUP if page.finish(html) else None
+    messages = [
+        {**_message(page.nodes, i), "is_cut": i in page.cut}
+        for i, node in enumerate(page.nodes)
         if node.text is None and node.has("article", "message")
     ]
+    return messages, problem
 
 
 def outline_of(html):
     """Text, links and paragraphs of any page, noise left out."""
-    nodes = PageNodes().finish(html)
+    page = PageNodes()
+    page.finish(html)
+    nodes = page.nodes
     seen = [nodes[i] for i in _visible(nodes, 0, len(nodes))]
     return {
         "text": "".join(n.text for n in seen if n.text is not None),
@@ -217,7 +231,7 @@ def outline_of(html):
 
 
 def message_batches(page_names, schema, batch_rows):
-    """Arrow function: batches of pages → batches of message records."""
+    """Arrow function: batches of pages → batches of message records, and a record for each page."""
 
     def parse(batches):
         pending = []
@@ -225,11 +239,9 @@ def message_batches(page_names, schema, batch_rows):
             html = batch.column("html")
             head = batch.select(page_names).to_pylist()
             for row, page in enumerate(head):
-                try:
-                    found = messages_of(html[row].as_py() or "")
-                except AssertionError:  # markup the tokenizer gives up on
-                    found = [{}]
+                found, problem = messages_of(html[row].as_py())
                 pending.extend({**page, **message} for message in found)
+                pending.append({**page, "page_messages": len(found), "page_problem": problem})
                 while len(pending) >= batch_rows:
                     yield pa.RecordBatch.from_pylist(pending[:batch_rows], schema)
                     del pending[:batch_rows]

@@ -50,6 +50,11 @@ MESSAGE_SCHEMA = T.StructType(
         T.StructField("is_edited", T.BooleanType()),
         T.StructField("emojis", _STRINGS),
         T.StructField("raw_content", T.StringType()),
+        # Whether the tokenizer gave up inside this message.
+        T.StructField("is_cut", T.BooleanType()),
+        # Set in the one record for each page itself.
+        T.StructField("page_messages", T.IntegerType()),
+        T.StructField("page_problem", T.StringType()),
     ]
 )
 OUTLINE_SCHEMA = T.StructType(
@@ -125,7 +130,7 @@ def read_packed_pages(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def extract_messages(pages: DataFrame) -> DataFrame:
-    """Raw message records of all pages; the only step run by Python workers.
+    """Raw message records of all pages, and one for each page; the only step run by Python workers.
 
     A page is parsed once, where it was read: nothing is shuffled. Only the
     needed columns are sent over.
@@ -146,9 +151,15 @@ def _known_ids(ids: Column) -> Column:
     return F.transform(ids, lambda i: F.coalesce(i, F.lit("0")))
 
 
-def posts_of_messages(messages: DataFrame) -> DataFrame:
-    """Raw messages → posts plus ``problems``, the reasons to reject a post."""
+def posts_of_messages(messages: DataFrame, pages: bool = False) -> DataFrame:
+    """Raw messages → posts plus ``problems``, the reasons to reject a post.
+
+    A page that could not be read to its end has a row of its own with the problem;
+    with ``pages`` every page has one, told by ``page_messages``.
+    """
     m = F.col
+    if not pages:
+        messages = messages.filter("page_messages is null or page_problem is not null")
     digits = F.replace(
         F.substring("fourth_item", F.lit(2), F.length("fourth_item")), F.lit("."), F.lit("")
     )
@@ -175,9 +186,11 @@ def posts_of_messages(messages: DataFrame) -> DataFrame:
         "likes": m("like_count").isNull(),
         "quote": F.coalesce(F.exists("quotes", lambda q: q.isNull()), F.lit(False)),
         "emoji": F.coalesce(F.exists("emojis", lambda e: e.isNull()), F.lit(False)),
+        "cut": m("is_cut"),
     }
-    problems = F.array_compact(
-        F.array(*[F.when(bad, F.lit(name)) for name, bad in broken.items()])
+    of_page = F.array_compact(F.array(F.concat(F.lit("page: "), m("page_problem"))))
+    problems = F.when(m("page_messages").isNotNull(), of_page).otherwise(
+        F.array_compact(F.array(*[F.when(bad, F.lit(name)) for name, bad in broken.items()]))
     )
     counted = read.withColumn("problems", problems).withColumn(
         "emoji_frequency_mapping", count_map(F.array_compact("emojis"))
@@ -193,7 +206,7 @@ def posts_of_messages(messages: DataFrame) -> DataFrame:
         sum_map_values(m("emoji_frequency_mapping")).alias("emoji_count"),
     )
     typed = [F.col(f.name).cast(f.dataType).alias(f.name) for f in POSTS_SCHEMA]
-    return full.select(*typed, "problems")
+    return full.select(*typed, "problems", *(["page_messages"] if pages else []))
 
 
 def accepted(extracted: DataFrame, strict: bool = False) -> DataFrame:
@@ -208,7 +221,7 @@ def accepted(extracted: DataFrame, strict: bool = False) -> DataFrame:
 
 
 def quarantined(extracted: DataFrame) -> DataFrame:
-    """Posts that could not be read, with the reasons."""
+    """Posts that could not be read, and pages that could not be read to their end, with the reasons."""
     return extracted.filter(F.size("problems") > 0)
 
 

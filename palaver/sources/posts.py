@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palaver.schema import EXTRACTED_SCHEMA, POSTS_SCHEMA, check_posts_columns
+from palaver.schema import POSTS_SCHEMA, check_posts_columns
 
 FORMATS = ("parquet", "json")
 REPORT_FORMATS = ("csv", "json", "parquet", "text")
@@ -57,26 +57,20 @@ def write_posts(
     _write_parquet(df, path, mode)
 
 
-def _write_parquet(df: DataFrame, path: str, mode: str) -> None:
+def _write_parquet(df: DataFrame, path: str, mode: str, parts: tuple[str, ...] = ()) -> None:
     conf = df.sparkSession.conf
     before = conf.get(_TIMESTAMPS)
     # Parquet keeps statistics for this type only; time filters need them.
     conf.set(_TIMESTAMPS, "TIMESTAMP_MICROS")
     try:
-        df.write.mode(mode).parquet(path)
+        df.write.mode(mode).parquet(path, partitionBy=list(parts) or None)
     finally:
         conf.set(_TIMESTAMPS, before)
 
 
-def write_extracted(df: DataFrame, path: str) -> None:
-    """Store posts together with their ``problems``, replacing what is there."""
-    _write_parquet(df, path, "overwrite")
-
-
-def read_extracted(spark: SparkSession, path: str) -> DataFrame:
-    """Everything ``write_extracted`` stored below ``path``."""
-    reader = spark.read.schema(EXTRACTED_SCHEMA).option("recursiveFileLookup", "true")
-    return reader.parquet(path)
+def write_extracted(df: DataFrame, path: str, parts: tuple[str, ...] = ("is_page",)) -> None:
+    """Store posts and pages (see ``posts_of_messages``) in one pass, in folders of their own, replacing what is there."""
+    _write_parquet(df.withColumn("is_page", F.col("page_messages").isNotNull()), path, "overwrite", parts)
 
 
 def concat_parts(*parts: DataFrame) -> DataFrame:
@@ -101,23 +95,24 @@ def latest_version(
     With the default keys a page fetched again replaces the posts of its earlier
     copy, just as overwriting the page would. Only keys and versions are
     aggregated; the wide rows meet them in one semi join on the keys, and the
-    join splits a key that holds very many rows.
+    join splits a key that holds very many rows. A version that is NULL is the
+    oldest; a key that is NULL is a key like others.
     """
     rank = F.struct(*version) if len(version) > 1 else F.col(version[0])
-    versions = df
+    # One key that is never NULL itself: both sides are hashed by the same expression.
+    key = "_".join((*keys, "key"))
+    keyed = df.withColumn(key, F.struct(*keys))
+    versions = keyed
     if len(version) > 1:
         # The maximum of a pair needs sorted input. Hashing comes first, so that
         # one row per copy of a page is left to sort, not one per post.
         first = F.max(version[0]).alias(version[0])
-        versions = df.groupBy(*keys, *version[1:]).agg(first)
-    newest = versions.groupBy(*keys).agg(F.max(rank).alias("_newest"))
-    a, b = df.withColumn("_version", rank).alias("a"), newest.alias("b")
+        versions = keyed.groupBy(key, *version[1:]).agg(first)
+    newest = versions.groupBy(key).agg(F.max(rank).alias("_newest"))
+    a, b = keyed.withColumn("_version", rank).alias("a"), newest.alias("b")
     # Not an equality, or it would become a second join key and cost a shuffle.
-    # A version that is NULL is the oldest; a key that is NULL is a key like others.
     same = F.col("b._newest").isNull() | (F.col("a._version") >= F.col("b._newest"))
-    for key in keys:
-        same &= F.col(f"a.{key}").eqNullSafe(F.col(f"b.{key}"))
-    return a.join(b, same, "left_semi").drop("_version")
+    return a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & same, "left_semi").drop("_version", key)
 
 
 def write_report(report: DataFrame, path: str, fmt: str | None = None) -> None:

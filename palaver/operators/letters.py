@@ -2,36 +2,79 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# The histogram travels with the job, so workers need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 ALPHABET = "abcdefghijklmnopqrstuvwxyzäöüß"  # fixed value
 MODES = ("count_all", "count_first", "count_last")  # fixed value
-
-
-def _count(chars: DataFrame, by: Sequence[str]) -> DataFrame:
-    return chars.groupBy(*by, "char").agg(
-        F.count(F.lit(1)).alias("count"), F.min("post_num").alias("first_post")
-    )
+LAST = 2**63 - 1  # stands for no post number
+
+
+def _counted(by: Sequence[str]):
+    """Arrow function: rows of ``by``, post_num and a text → a row for each group and character of a batch."""
+    groups = len(by)
+
+    def count(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            post, text = batch.column(groups), pc.fill_null(batch.column(groups + 1), "")
+            sizes = pc.utf8_length(text).to_numpy().astype("i8")
+            posts = pc.fill_null(post, LAST).to_numpy()
+            # Rows of a group lie together, the first post last.
+            group, firsts = np.zeros(batch.num_rows, "i8"), [0]
+            if groups:
+                known: dict[tuple, int] = {}
+                keys = list(zip(*[batch.column(k).to_pylist() for k in range(groups)]))
+                group = np.array([known.setdefault(key, len(known)) for key in keys], "i8")
+                firsts = np.unique(group, return_index=True)[1].tolist()
+            order = np.lexsort((-posts, group))
+            joined = "".join(text.take(pa.array(order)).to_pylist())
+            codes = np.frombuffer(joined.encode("utf-32-le"), "<u4")
+            owner = np.repeat(posts[order], sizes[order])
+            ends = np.cumsum(np.bincount(group, sizes, len(firsts))).astype("i8").tolist()
+            for row, start, end in zip(firsts, [0, *ends], ends):
+                part = codes[start:end]
+                counts = np.bincount(part)
+                first = np.empty(len(counts), "i8")
+                first[part] = owner[start:end]  # the last one written stays
+                held = np.flatnonzero(counts)
+                of_group = [pa.repeat(batch.column(k)[row], len(held)) for k in range(groups)]
+                seen = first[held]
+                columns = [pa.array(map(chr, held.tolist()), pa.string()), pa.array(counts[held]), pa.array(seen, mask=seen == LAST)]
+                yield pa.RecordBatch.from_arrays([*of_group, *columns], [*by, "char", "count", "first_post"])
+
+    return count
+
+
+def _histogram(df: DataFrame, text: Column, by: Sequence[str]) -> DataFrame:
+    """Characters of ``text`` with their numbers and first posts: histograms of whole batches, then one small aggregate."""
+    rows = df.select(*by, F.col("post_num").cast("bigint").alias("post_num"), text.alias("text"))
+    kinds = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in by]
+    counted = rows.mapInArrow(_counted(by), ", ".join([*kinds, "char string, count bigint, first_post bigint"]))
+    return counted.groupBy(*by, "char").agg(F.sum("count").alias("count"), F.min("first_post").alias("first_post"))
 
 
 def char_counts_all(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Every character of every word; the words of a post are exploded as one."""
-    letters = F.split(F.array_join("words", ""), "")
-    rows = df.select(*by, "post_num", F.explode(letters).alias("char"))
-    return _count(rows.filter(F.col("char") != ""), by)
+    """Every character of every word."""
+    return _histogram(df, F.array_join("words", ""), by)
 
 
 def char_counts_first(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    words = df.select(*by, "post_num", F.explode("words").alias("word"))
-    return _count(words.withColumn("char", F.substring("word", 1, 1)), by)
+    return _histogram(df, F.array_join(F.transform("words", lambda w: F.substring(w, 1, 1)), ""), by)
 
 
 def char_counts_last(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    words = df.select(*by, "post_num", F.explode("words").alias("word"))
-    return _count(words.withColumn("char", F.substring("word", -1, 1)), by)
+    return _histogram(df, F.array_join(F.transform("words", lambda w: F.substring(w, -1, 1)), ""), by)
 
 
 def char_counts(df: DataFrame, mode: str, by: Sequence[str] = ()) -> DataFrame:

@@ -74,9 +74,13 @@ def filter_author(df: DataFrame, author: str) -> DataFrame:
     return df.filter(F.col("author") == author)
 
 
+def in_time_range(start: float, end: float) -> Column:
+    return F.col("creation_ts").between(_instant(start), _instant(end))
+
+
 def filter_time_range(df: DataFrame, start: float, end: float) -> DataFrame:
     """Posts between two Unix times, both inclusive."""
-    return df.filter(F.col("creation_ts").between(_instant(start), _instant(end)))
+    return df.filter(in_time_range(start, end))
 
 
 def filter_year(df: DataFrame, year: int) -> DataFrame:

@@ -33,6 +33,7 @@ QUERIES: dict[str, Query] = {}
 PAGES = range(3, 400, 7)
 POSTS = range(50, 5_000, 3)
 TIMES = (1_704_240_000, 1_705_500_000)
+YEARS = (757_382_400, 836_136_000)  # 1994-01-01 to 1996-06-30 12:00, UTC
 YEAR = 1997
 GOAL_FACTOR = 3
 SYMBOLS = (("click", "\U0001f5b1"), ("view", "\U0001f440"), ("purchase", "\U0001f6d2"))
@@ -770,6 +771,19 @@ def rep_forecast(spark, sf_dir):
     )
 
 
+@query
+def rep_forecast_by_thread(spark, sf_dir):
+    goal = GOAL_FACTOR * F.col("total")
+    return _day_as_text(reports.forecast(views.ord_(spark, sf_dir), goal, *YEARS, "timestamp", by=["thread_id"]))
+
+
+@query
+def rep_forecast_problems(spark, sf_dir):
+    """Every second thread has reached its goal, the others lack posts of that number."""
+    goal = F.when(F.col("thread_id") < "3", F.col("total")).otherwise(GOAL_FACTOR * F.col("total"))
+    return reports.forecast_problems(views.ord_(spark, sf_dir), goal, 2, 1 << 40, "post", by=["thread_id"])
+
+
 @query
 def rep_forecast_summary(spark, sf_dir):
     summary = reports.forecast_summary(

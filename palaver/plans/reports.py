@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palaver.operators import authors as A
@@ -202,13 +202,27 @@ def _checked_period(
 
 
 def forecast(
-    df: DataFrame, goal: int, start: int, end: int, kind: str
+    df: DataFrame, goal: int | Column, start: int, end: int, kind: str, by: Sequence[str] = ()
 ) -> DataFrame:
-    """Posts a day in a period, continued at its mean rate until the goal."""
+    """Posts a day in a period, continued at its mean rate until the goal.
+
+    Arguments that do not fit the posts raise an error. With ``by`` they leave
+    a group out instead, and ``forecast_problems`` tells why; ``goal`` may then be an expression over ``total``.
+    """
+    if by:
+        return FC.forecast_by(df, by, goal, start, end, kind).orderBy(*by, "day", "is_forecast")
     period, total = _checked_period(df, goal, start, end, kind)
     return FC.forecast_series(period, F.lit(total), goal).orderBy("day", "is_forecast")
 
 
+def forecast_problems(
+    df: DataFrame, goal: int | Column, start: int, end: int, kind: str, by: Sequence[str]
+) -> DataFrame:
+    """Groups that ``forecast`` leaves out, and why."""
+    facts = FC.group_facts(FC.daily_facts(df, by, start, end, kind), by, goal, start, end, kind)
+    return facts.where("problem is not null").select(*by, "problem").orderBy(*by)
+
+
 def forecast_summary(
     df: DataFrame, goal: int, start: int, end: int, kind: str, description: str = ""
 ) -> DataFrame:
@@ -273,6 +287,7 @@ REPORTS: dict[str, Callable[..., DataFrame]] = {
         top_quoted,
         top_quoters,
         forecast,
+        forecast_problems,
         forecast_summary,
         authors_per_year,
         messages_per_author_per_year,

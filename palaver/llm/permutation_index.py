@@ -5,8 +5,11 @@ has an inverted file: for every pivot the vectors that have it among their
 ``prefix`` nearest, with its place in their order. A query reads the lists of its
 own nearest pivots and adds up, for each vector met, how much the two orders have
 in common: the part of the footrule distance that differs between vectors (a
-pivot missing in an order counts as the place behind its end). The best ``share``
-of a block by footrule is reranked by the true measure, and blocks' results merge.
+pivot missing in an order counts as the place behind its end). Orders know angles
+only, and the measure is the inner product: a line through the footrules and cosines of a few queries
+turns a footrule into a cosine and its spread, and the vector's length times both
+is what a block ranks by (with equal lengths that is the footrule's order). The best ``share``
+of a block is reranked by the true measure, and blocks' results merge.
 
 Pivots are drawn from the vectors by hash, at most ``pivots`` of them, the only
 sample; every vector is indexed, every query answered. Queries and blocks meet in
@@ -30,6 +33,8 @@ PIVOTS = 512
 PREFIX = 32
 SHARE = 0.25
 NEAREST = 20
+#: Queries of a tile whose footrules are compared with cosines.
+FITTED = 16
 BLOCK_ROWS = 16_384
 QUERY_ROWS = 1_024
 
@@ -59,6 +64,18 @@ class Block:
         by = np.argsort(flat, kind="stable")
         self.rows, self.weight = rows[by].astype("i4"), weight[by].astype("f8")
         self.at = np.searchsorted(flat[by], np.arange(len(pivots) + 1))
+        self.lengths = np.linalg.norm(self.vectors, axis=1)
+        self.line = (1.0, 0.0, 0.0)
+
+    def fit(self, queries, orders) -> None:
+        """The line from agreement to cosine, and the spread around it, by the first queries."""
+        np = self.np
+        x = np.concatenate([self.common(o) for o in orders[:FITTED]])
+        y = np.concatenate([self.vectors @ q / (self.lengths * np.linalg.norm(q)) for q in queries[:FITTED]])
+        slope = np.cov(x, y, bias=True)[0, 1] / x.var() if x.var() > 0 else 0.0
+        if slope > 0:
+            base = y.mean() - slope * x.mean()
+            self.line = (slope, base, float((y - base - slope * x).std()))
 
     def orders(self, vectors, pivots):
         """Numbers of each vector's nearest pivots, nearest first."""
@@ -81,9 +98,12 @@ class Block:
         n = len(self.ids)
         most = max(4 * nearest, int(np.ceil(share * n)))
         if most < n:
-            # One number for footrule and place, so that ties go to smaller ids.
-            key = self.common(order) * n + (n - 1 - np.arange(n))
-            best = np.argpartition(-key, most)[:most]
+            slope, base, spread = self.line
+            key = self.lengths * (slope * self.common(order) + base + spread)
+            least = -np.partition(-key, most - 1)[most - 1]
+            best = np.flatnonzero(key > least)
+            # Ties go to smaller ids.
+            best = np.concatenate([best, np.flatnonzero(key == least)[: most - len(best)]])
         else:
             best = np.arange(n)
         best = np.sort(best[self.ids[best] != query_id])
@@ -133,6 +153,8 @@ def search(
         block = Block(left["id"].to_numpy(), np.stack(left["v"].to_numpy()), points, prefix)
         queries = np.stack(right["v"].to_numpy())
         orders = block.orders(queries, points)
+        fitted = np.argsort(right["id"].to_numpy(), kind="stable")[:FITTED]
+        block.fit(queries[fitted], orders[fitted])
         out = []
         for k, key in enumerate(right["id"].tolist()):
             ids, scores = block.search(key, queries[k], orders[k], share, nearest)

@@ -27,6 +27,7 @@ import zlib
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 BUCKET_BITS = 17
 DIM = 8
@@ -38,6 +39,7 @@ STEPS = 150
 MIN_TEXTS = 4
 PER_LABEL = 4_000
 MAX_TRAIN_CHARS = 40_000
+CHARS_PER_LABEL = 12_000_000
 KNOWN_WORDS = 300_000
 HELD_OUT_OF = 5
 
@@ -151,24 +153,39 @@ def held_out(doc_id: Column, of: int = HELD_OUT_OF) -> Column:
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, max_train_chars: int = MAX_TRAIN_CHARS
+    docs: DataFrame,
+    labels: DataFrame,
+    per_label: int = PER_LABEL,
+    max_train_chars: int = MAX_TRAIN_CHARS,
+    chars_per_label: int = CHARS_PER_LABEL,
 ) -> tuple[float, bytes]:
-    """Train in one task on the bounded sample; the model is a bias and 2^17 numbers."""
-    learnt = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "toxic")
+    """Train in one task on the bounded sample; the model is a bias and 2^17 numbers.
+
+    A document counts as toxic if any of its labels says so; of several texts with
+    its id the one with the least md5 is learnt from. So the sample, and the model, do not
+    hang on the order or the partitions in which rows arrive.
+    """
+    learnt = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    learnt = learnt.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64("doc_id")
     # Ids are chosen first, so that only the sample's texts travel.
     short = docs.where(F.col("text").isNotNull() & (F.char_length("text") <= max_train_chars)).select("doc_id")
     chosen = [
-        learnt.where(F.col("toxic") == k).join(short, "doc_id", "left_semi").distinct().orderBy(order, "doc_id").limit(per_label)
+        learnt.where(F.col("toxic") == k).join(short, "doc_id", "left_semi").orderBy(order, "doc_id").limit(per_label)
         for k in (0, 1)
     ]
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen[0].union(chosen[1])), "doc_id")  # 2 * per_label rows
+    texts = docs.where(F.char_length("text") <= max_train_chars).select("doc_id", "text")
+    sample = texts.join(F.broadcast(chosen[0].union(chosen[1])), "doc_id")  # 2 * per_label rows
+    # Repeats fold before they travel; the first of a label's texts, in the order of the choice, fill its share.
+    sample = sample.groupBy("doc_id", "toxic").agg(F.min_by("text", F.md5("text")).alias("text"))
+    held = F.sum(F.char_length("text")).over(W.partitionBy("toxic").orderBy(order, "doc_id"))
+    sample = sample.withColumn("held", held).where(F.col("held") <= chars_per_label).drop("held")
 
     def trained(frame):
         import numpy as np
         import pandas as pd
 
-        frame = frame.drop_duplicates("doc_id").sort_values("doc_id")
+        frame = frame.sort_values("doc_id")
         bias, numbers = train(frame["text"].tolist(), frame["toxic"].tolist())
         return pd.DataFrame({"bias": [bias], "numbers": [np.asarray(numbers, "<f4").tobytes()]})
 

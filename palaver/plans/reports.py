@@ -287,7 +287,6 @@ REPORTS: dict[str, Callable[..., DataFrame]] = {
         top_quoted,
         top_quoters,
         forecast,
-        forecast_problems,
         forecast_summary,
         authors_per_year,
         messages_per_author_per_year,

@@ -93,18 +93,20 @@ def top_n_with_rest(
     """Shares of the first n rows and, flagged ``is_rest``, of all the others.
 
     ``totals`` comes from ``totals_of``; every group in it gets its remainder
-    row, even without a top row.
+    row, even without a top row. In groups the first n carry their ``rank``.
     """
     top = top_n(stats, metric, n, ties, by)
+    ranks = ["rank"] if by else []
     rows = totals.select(
         *by,
         F.lit(REST).alias(name),
         F.coalesce("total", F.lit(0)).alias("amount"),
         F.lit(True).alias("is_rest"),
         ties[0],
+        *[F.lit(None).cast("int").alias(c) for c in ranks],
     ).unionByName(
         top.select(
-            *by, name, F.col(metric).alias("amount"), F.lit(False).alias("is_rest"), ties[0]
+            *by, name, F.col(metric).alias("amount"), F.lit(False).alias("is_rest"), ties[0], *ranks
         )
     )
     # A union instead of joins: both sides then read the very same aggregate, and

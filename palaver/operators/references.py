@@ -58,9 +58,17 @@ def messages_with_quote_by_author(df: DataFrame, by: Sequence[str] = ()) -> Data
     return _posts_with(df, "quote_count", [NO_NAME], by)
 
 
-def author_names(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Name of every author id as given in its first post; nobody has no name."""
+def author_names(
+    df: DataFrame, by: Sequence[str] = (), wanted: DataFrame | None = None
+) -> DataFrame:
+    """Name of every author id as given in its first post; nobody has no name.
+
+    ``wanted`` holds (by…, author_id): posts of other authors are left out before
+    anything is aggregated. Give it only where it is small enough for a broadcast.
+    """
     known = df.filter(F.col("author_id") != NO_ID)
+    if wanted is not None:
+        known = known.join(F.broadcast(wanted), [*by, "author_id"], "left_semi")
     # Pairs first: that is a hash aggregate with a number in its buffer. Picking a
     # string directly would sort all posts; now only the few pairs are sorted.
     pairs = known.groupBy(*by, "author_id", "author").agg(
@@ -72,9 +80,17 @@ def author_names(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def lookup_author_name(
-    ids: DataFrame, posts: DataFrame, by: Sequence[str] = (), id_column: str = "user_id"
+    ids: DataFrame,
+    posts: DataFrame,
+    by: Sequence[str] = (),
+    id_column: str = "user_id",
+    few: bool = False,
 ) -> DataFrame:
-    """Add ``name`` to ``ids``: the author's name, or the id if it never posted."""
-    names = author_names(posts, by).withColumnRenamed("author_id", id_column)
+    """Add ``name`` to ``ids``: the author's name, or the id if it never posted.
+
+    With ``few`` — the caller knows a bound — only posts of these ids are aggregated.
+    """
+    wanted = ids.select(*by, F.col(id_column).alias("author_id")) if few else None
+    names = author_names(posts, by, wanted).withColumnRenamed("author_id", id_column)
     joined = ids.join(names, [*by, id_column], "left")
     return joined.withColumn("name", F.coalesce("name", id_column))

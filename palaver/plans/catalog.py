@@ -16,6 +16,7 @@ from palaver.operators import references as R
 from palaver.operators import select as S
 from palaver.operators import years as Y
 from palaver.operators.frontier import frontier_pages as list_frontier
+from palaver.operators.occurrences import FIRST_SEEN, seen_at
 from palaver.operators.ranking import totals_of
 from palaver.operators.ranking import share_of_total as add_share
 from palaver.operators.ranking import top_n as first_n
@@ -51,6 +52,11 @@ def big(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("bigint") for c in small})
 
 
+def seen(df: DataFrame) -> DataFrame:
+    """The first appearance as post number and position."""
+    return df.select(*[c for c in df.columns if c != FIRST_SEEN], *seen_at())
+
+
 def _stamp(column: str) -> Column:
     return F.date_format(column, "yyyy-MM-dd HH:mm:ss").alias(column)
 
@@ -155,21 +161,13 @@ def extract_posts(spark, sf_dir):
 
 @query
 def extract_lists(spark, sf_dir):
-    """The list and map columns, one row per entry."""
-    posts = _extracted(spark, sf_dir)
-
-    def items(kind, column):
-        rows = posts.select("thread_id", "post_num", F.explode(column).alias("item"))
-        return rows.select("*", F.lit(kind).alias("kind"), F.lit(1).cast("bigint").alias("n"))
-
-    emojis = posts.select(
-        "thread_id", "post_num", F.explode("emoji_frequency_mapping").alias("item", "n")
-    ).withColumns({"kind": F.lit("emoji"), "n": F.col("n").cast("bigint")})
-    return (
-        items("quote", "quoted_list")
-        .unionByName(items("mention", "mentioned_list"))
-        .unionByName(emojis)
+    """The list and map columns, one row per entry, from one parse of the pages."""
+    entries = maps.tagged_entries(
+        {"quote": F.col("quoted_list"), "mention": F.col("mentioned_list")},
+        {"emoji": F.col("emoji_frequency_mapping")},
     )
+    rows = _extracted(spark, sf_dir).select("thread_id", "post_num", F.explode(entries).alias("e"))
+    return rows.select("thread_id", "post_num", "e.*")
 
 
 @query
@@ -341,9 +339,8 @@ def having_min_messages(spark, sf_dir):
 @query
 def filter_unknown(spark, sf_dir):
     posts = views.evt(spark, sf_dir)
-    mentions = posts.select("post_num", F.explode("mentioned_list").alias("who"))
-    quotes = posts.select("post_num", F.explode("quoted_list").alias("who"))
-    return S.filter_unknown(mentions.unionByName(quotes), "who")
+    both = F.concat("mentioned_list", "quoted_list")
+    return S.filter_unknown(posts.select("post_num", F.explode(both).alias("who")), "who")
 
 
 @query
@@ -493,17 +490,17 @@ def mean(spark, sf_dir):
 
 @query
 def used_emojis(spark, sf_dir):
-    return E.used_emojis(views.emo(spark, sf_dir))
+    return seen(E.used_emojis(views.emo(spark, sf_dir)))
 
 
 @query
 def emoji_frequency(spark, sf_dir):
-    return E.emoji_frequency(views.emo(spark, sf_dir))
+    return seen(E.emoji_frequency(views.emo(spark, sf_dir)))
 
 
 @query
 def emoji_map_by_author(spark, sf_dir):
-    return E.emoji_counts_by_author(views.emo(spark, sf_dir))
+    return seen(E.emoji_counts_by_author(views.emo(spark, sf_dir)))
 
 
 @query
@@ -523,12 +520,12 @@ def sum_map_values(spark, sf_dir):
 
 @query
 def times_mentioned(spark, sf_dir):
-    return R.times_mentioned(views.evt(spark, sf_dir))
+    return seen(R.times_mentioned(views.evt(spark, sf_dir)))
 
 
 @query
 def times_quoted(spark, sf_dir):
-    return R.times_quoted(views.evt(spark, sf_dir))
+    return seen(R.times_quoted(views.evt(spark, sf_dir)))
 
 
 @query
@@ -603,7 +600,7 @@ def rep_violation_table(spark, sf_dir):
 
 @query
 def rep_emoji_table(spark, sf_dir):
-    return reports.emoji_table(views.emo(spark, sf_dir))
+    return seen(reports.emoji_table(views.emo(spark, sf_dir)))
 
 
 @query
@@ -614,7 +611,7 @@ def rep_top_share(spark, sf_dir):
 @query
 def rep_top_share_words_by_thread(spark, sf_dir):
     posts = views.doc(spark, sf_dir)
-    return reports.top_share(posts, n=3, criterion="words", by=["thread_id"])
+    return big(reports.top_share(posts, n=3, criterion="words", by=["thread_id"]))
 
 
 @query
@@ -630,27 +627,27 @@ def rep_yearly_top_share_words_by_thread(spark, sf_dir):
 
 @query
 def rep_emoji_share(spark, sf_dir):
-    return reports.emoji_share(views.emo(spark, sf_dir), n=3)
+    return seen(reports.emoji_share(views.emo(spark, sf_dir), n=3))
 
 
 @query
 def rep_emoji_share_first_seen(spark, sf_dir):
-    return reports.emoji_share(views.emo(spark, sf_dir), n=3, rank_by="first_seen")
+    return seen(reports.emoji_share(views.emo(spark, sf_dir), n=3, rank_by="first_seen"))
 
 
 @query
 def rep_emoji_distribution(spark, sf_dir):
-    return reports.emoji_distribution(views.emo(spark, sf_dir), n=10, n_emojis=3)
+    return seen(reports.emoji_distribution(views.emo(spark, sf_dir), n=10, n_emojis=3))
 
 
 @query
 def rep_emoji_distribution_all(spark, sf_dir):
-    return reports.emoji_distribution(views.emo(spark, sf_dir), n=10, n_emojis=0)
+    return seen(reports.emoji_distribution(views.emo(spark, sf_dir), n=10, n_emojis=0))
 
 
 @query
 def rep_top_mentioned(spark, sf_dir):
-    return reports.top_mentioned(views.evt(spark, sf_dir), n=10)
+    return seen(reports.top_mentioned(views.evt(spark, sf_dir), n=10))
 
 
 @query
@@ -660,7 +657,7 @@ def rep_top_mentioners(spark, sf_dir):
 
 @query
 def rep_top_quoted(spark, sf_dir):
-    return reports.top_quoted(views.evt(spark, sf_dir), n=10)
+    return seen(reports.top_quoted(views.evt(spark, sf_dir), n=10))
 
 
 @query

@@ -81,6 +81,12 @@ VIEWS = {
     "quotes": """
         SELECT post_num, unnest(quoted_list) AS who,
                generate_subscripts(quoted_list, 1) - 1 AS pos FROM evt""",
+    "mentioned": """
+        SELECT who, count(*) AS times, min({'post': post_num, 'pos': pos}) AS first_seen
+        FROM mentions WHERE who NOT IN ('0', '') GROUP BY who""",
+    "quoted": """
+        SELECT who, count(*) AS times, min({'post': post_num, 'pos': pos}) AS first_seen
+        FROM quotes WHERE who NOT IN ('0', '') GROUP BY who""",
     "emo_posts": """
         SELECT user_id, CAST(ts AS DATE) AS day, min(event_id) + 1 AS post_num,
                'user' || user_id AS author FROM events GROUP BY user_id, CAST(ts AS DATE)""",
@@ -89,9 +95,8 @@ VIEWS = {
         FROM events GROUP BY user_id, CAST(ts AS DATE), event_type""",
     "emo": """
         SELECT p.post_num, p.author, c.emoji, c.n,
-               p.post_num * 1048576
-                 + row_number() OVER (PARTITION BY p.post_num, p.author ORDER BY c.emoji) - 1
-                 AS seen
+               {'post': p.post_num, 'pos':
+                 row_number() OVER (PARTITION BY p.post_num, p.author ORDER BY c.emoji) - 1} AS seen
         FROM emo_posts p JOIN emo_counts c ON p.user_id = c.user_id AND p.day = c.day""",
     "emo_freq": """
         SELECT emoji, CAST(sum(n) AS BIGINT) AS count, min(seen) AS first_seen
@@ -208,6 +213,7 @@ def _sql(name: str, body: str) -> None:
     ORACLES[name] = (f"WITH {parts}\n" if parts else "") + body.strip()
 
 
+_SEEN = "first_seen.post AS seen_post, first_seen.pos AS seen_pos"
 _FACTS = """
     SELECT post_num, page_num, author, word_count, reasons,
            strftime(creation_local, '%Y-%m-%d %H:%M:%S') AS creation_local FROM doc"""
@@ -225,6 +231,7 @@ def _shares(stats: str, metric: str, n: int, total: str, keys: str = "", years:
     join_top = f"LEFT JOIN sums USING ({using})" if keys else "CROSS JOIN sums"
     top_join = f"JOIN totals USING ({using})" if keys else "CROSS JOIN totals"
     group = f"GROUP BY {using}" if keys else ""
+    rank = ", r AS rank" if keys else ""
     return f"""
     SELECT * FROM (
       WITH ranked AS (SELECT *, row_number() OVER ({part} ORDER BY {metric} DESC, first_post, author) AS r
@@ -232,12 +239,12 @@ def _shares(stats: str, metric: str, n: int, total: str, keys: str = "", years:
            totals AS (SELECT {keys}CAST({total} AS BIGINT) AS total, min(first_post) AS first
                       FROM {stats} {group}),
            sums AS (SELECT {keys}CAST(sum({metric}) AS BIGINT) AS shown FROM ranked WHERE r <= {n} {group})
-      SELECT {keys}author, {metric} AS amount, {metric} / total AS share, false AS is_rest, first_post
+      SELECT {keys}author, {metric} AS amount, {metric} / total AS share, false AS is_rest, first_post{rank}
       FROM ranked {top_join} WHERE r <= {n}
       UNION ALL
       SELECT {keys}'Rest', coalesce(total, 0) - coalesce(shown, 0),
              CASE WHEN coalesce(total, 0) = 0 THEN 1.0
-                  ELSE (total - coalesce(shown, 0)) / total END, true, first
+                  ELSE (total - coalesce(shown, 0)) / total END, true, first{", NULL" if keys else ""}
       FROM {groups} {join} {join_top})"""
 
 
@@ -393,11 +400,12 @@ _sql("overall_plus_groups", """
 _sql("mean", "SELECT avg(word_count) AS mean FROM doc_rules")
 
 # --- arrays and maps
-_sql("used_emojis", "SELECT emoji, first_seen FROM emo_freq")
-_sql("emoji_frequency", "SELECT emoji, count, first_seen FROM emo_freq")
-_sql("emoji_map_by_author", """
-    SELECT author, emoji, CAST(sum(n) AS BIGINT) AS n, min(seen) AS first_seen
-    FROM emo GROUP BY author, emoji""")
+_sql("used_emojis", f"SELECT emoji, {_SEEN} FROM emo_freq")
+_sql("emoji_frequency", f"SELECT emoji, count, {_SEEN} FROM emo_freq")
+_sql("emoji_map_by_author", f"""
+    SELECT author, emoji, n, {_SEEN}
+    FROM (SELECT author, emoji, CAST(sum(n) AS BIGINT) AS n, min(seen) AS first_seen
+          FROM emo GROUP BY author, emoji)""")
 _sql("merge_maps", """
     SELECT post_num, author, emoji, CAST(sum(n) AS BIGINT) AS n
     FROM (SELECT post_num, author, emoji, n FROM emo
@@ -406,12 +414,8 @@ _sql("merge_maps", """
     GROUP BY post_num, author, emoji""")
 _sql("sum_map_values", """
     SELECT post_num, author, CAST(sum(n) AS BIGINT) AS total FROM emo GROUP BY post_num, author""")
-_sql("times_mentioned", """
-    SELECT who AS user_id, count(*) AS times, min(post_num * 1048576 + pos) AS first_seen
-    FROM mentions WHERE who NOT IN ('0', '') GROUP BY who""")
-_sql("times_quoted", """
-    SELECT who AS user_name, count(*) AS times, min(post_num * 1048576 + pos) AS first_seen
-    FROM quotes WHERE who NOT IN ('0', '') GROUP BY who""")
+_sql("times_mentioned", f"SELECT who AS user_id, times, {_SEEN} FROM mentioned")
+_sql("times_quoted", f"SELECT who AS user_name, times, {_SEEN} FROM quoted")
 _sql("char_counts_all", """
     SELECT char, count(*) AS count, min(post_num) AS first_post FROM char_rows GROUP BY char""")
 _sql("char_counts_first", """
@@ -444,50 +448,48 @@ _sql("rep_author_table_by_thread", """
     SELECT thread_id, author, messages, violations, violations / messages * 100 AS violation_pct,
            violations / messages AS violation_rate, first_post FROM doc_thread_authors""")
 _sql("rep_violation_table", _AUTHOR_TABLE + " WHERE messages >= 50")
-_sql("rep_emoji_table", "SELECT emoji, count, first_seen FROM emo_freq")
+_sql("rep_emoji_table", f"SELECT emoji, count, {_SEEN} FROM emo_freq")
 _sql("rep_top_share", _shares("doc_authors", "messages", 10, "sum(messages)"))
 _sql("rep_top_share_words_by_thread",
      _shares("doc_thread_authors", "words", 3, "sum(words)", "thread_id, "))
 _sql("rep_yearly_top_share", f"""
-    SELECT year, author, amount, share * 100 AS pct, is_rest, first_post
+    SELECT year, rank, author, amount, share * 100 AS pct, is_rest, first_post
     FROM ({_shares("ord_author_years", "messages", 10, "sum(messages)", "year, ", "ord_years")})""")
 VIEWS["ord_thread_author_years"] = """
         SELECT thread_id, year, author, CAST(sum(word_count) AS BIGINT) AS words,
                min(post_num) AS first_post FROM ord GROUP BY thread_id, year, author"""
 _sql("rep_yearly_top_share_words_by_thread", f"""
-    SELECT thread_id, year, author, amount, share * 100 AS pct, is_rest, first_post
+    SELECT thread_id, year, rank, author, amount, share * 100 AS pct, is_rest, first_post
     FROM ({_shares("ord_thread_author_years", "words", 5, "sum(words)", "thread_id, year, ",
                    "ord_thread_years")})""")
-_sql("rep_emoji_share", """
-    SELECT emoji, count, count / (SELECT count(*) FROM events) AS share, first_seen
+_sql("rep_emoji_share", f"""
+    SELECT emoji, count, count / (SELECT count(*) FROM events) AS share, {_SEEN}
     FROM emo_freq ORDER BY count DESC, first_seen, emoji LIMIT 3""")
-_sql("rep_emoji_share_first_seen", """
-    SELECT emoji, count, count / (SELECT count(*) FROM events) AS share, first_seen
+_sql("rep_emoji_share_first_seen", f"""
+    SELECT emoji, count, count / (SELECT count(*) FROM events) AS share, {_SEEN}
     FROM emo_freq ORDER BY first_seen, emoji LIMIT 3""")
 _sql("rep_emoji_distribution", """
     SELECT u.author, u.total, u.first_post, coalesce(s.emoji, 'Andere') AS emoji,
-           s.emoji IS NULL AS is_others, CAST(sum(u.n) AS BIGINT) AS n, min(u.seen) AS first_seen
+           s.emoji IS NULL AS is_others, CAST(sum(u.n) AS BIGINT) AS n,
+           min(u.seen).post AS seen_post, min(u.seen).pos AS seen_pos
     FROM emo_used u
     LEFT JOIN (SELECT emoji FROM emo_used GROUP BY emoji
                ORDER BY sum(n) DESC, min(seen), emoji LIMIT 3) s ON u.emoji = s.emoji
     GROUP BY u.author, u.total, u.first_post, s.emoji""")
 _sql("rep_emoji_distribution_all", """
     SELECT author, total, first_post, emoji, false AS is_others, CAST(sum(n) AS BIGINT) AS n,
-           min(seen) AS first_seen
+           min(seen).post AS seen_post, min(seen).pos AS seen_pos
     FROM emo_used GROUP BY author, total, first_post, emoji""")
-_sql("rep_top_mentioned", """
-    SELECT t.user_id, coalesce(n.name, t.user_id) AS name, t.times, t.first_seen
-    FROM (SELECT who AS user_id, count(*) AS times, min(post_num * 1048576 + pos) AS first_seen
-          FROM mentions WHERE who NOT IN ('0', '') GROUP BY who
-          ORDER BY times DESC, first_seen LIMIT 10) t
+_sql("rep_top_mentioned", f"""
+    SELECT t.who AS user_id, coalesce(n.name, t.who) AS name, t.times, {_SEEN}
+    FROM (SELECT * FROM mentioned ORDER BY times DESC, first_seen LIMIT 10) t
     LEFT JOIN (SELECT author_id, arg_min(author, post_num) AS name FROM evt GROUP BY author_id) n
-      ON n.author_id = t.user_id""")
+      ON n.author_id = t.who""")
 _sql("rep_top_mentioners", """
     SELECT author, count(*) AS messages, min(post_num) AS first_post FROM evt
     WHERE len(mentioned_list) > 0 GROUP BY author ORDER BY messages DESC, first_post LIMIT 10""")
-_sql("rep_top_quoted", """
-    SELECT who AS user_name, count(*) AS times, min(post_num * 1048576 + pos) AS first_seen
-    FROM quotes WHERE who NOT IN ('0', '') GROUP BY who ORDER BY times DESC, first_seen LIMIT 10""")
+_sql("rep_top_quoted", f"""
+    SELECT who AS user_name, times, {_SEEN} FROM quoted ORDER BY times DESC, first_seen LIMIT 10""")
 _sql("rep_top_quoters", """
     SELECT author, count(*) AS messages, min(post_num) AS first_post FROM evt
     WHERE len(quoted_list) > 0 GROUP BY author ORDER BY messages DESC, first_post LIMIT 10""")

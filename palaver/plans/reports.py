@@ -82,7 +82,7 @@ def top_share(
 def yearly_top_share(
     df: DataFrame, n: int = 10, criterion: str = "messages", by: Sequence[str] = ()
 ) -> DataFrame:
-    """The same for every calendar year; a year without posts is all rest."""
+    """The same for every calendar year, with ranks; a year without posts is all rest."""
     metric = Y.metric_of(criterion)
     keys = [*by, "year"]
     stats = Y.author_years(df, by).select(*keys, "author", metric, "first_post")
@@ -90,7 +90,7 @@ def yearly_top_share(
     shares = top_n_with_rest(stats, totals, metric, "author", n, AUTHOR_TIES, keys)
     percent = (F.col("share") * 100).alias("pct")
     return _rest_first(shares, keys).select(
-        *keys, "author", "amount", percent, "is_rest", "first_post"
+        *keys, "rank", "author", "amount", percent, "is_rest", "first_post"
     )
 
 
@@ -155,7 +155,8 @@ def top_mentioned(df: DataFrame, n: int = 10, by: Sequence[str] = ()) -> DataFra
     """The most mentioned users, by name where they have posted."""
     order = ("times", (FIRST_SEEN, "user_id"))
     top = top_n(R.times_mentioned(df, by), order[0], n, order[1], by)
-    named = R.lookup_author_name(top, df, by)
+    few = not by and n <= BROADCAST_ROWS
+    named = R.lookup_author_name(top, df, by, few=few)
     return named.select(*by, "user_id", "name", "times", FIRST_SEEN).orderBy(
         *by, *order_of(*order)
     )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from palaver.operators import years as Y
 from palaver.operators.ranking import top_n
 from palaver.plans import reports, views
+from palaver.plans.catalog import QUERIES
 from palaver.session import scratch_path, spread
 from palaver.sources.posts import latest_version, read_posts, write_posts
 
@@ -106,6 +107,19 @@ def test_aggregates_are_shuffled_once(spark, posts):
         assert "ReusedExchange" in final, name
 
 
+def test_names_are_aggregated_for_the_top_ids_only(posts):
+    """The posts meet the n ids in a broadcast before any name is shuffled."""
+    plan = plan_of(reports.top_mentioned(posts, n=5))
+    names = plan[plan.index("partial_min(post_num"):]
+    assert names.index("LeftSemi") < names.index("FileScan")
+    assert "BroadcastHashJoin" in names[: names.index("FileScan")]
+
+
+def test_entries_take_one_parse(spark):
+    assert plan_of(QUERIES["extract_lists"](spark, SF_DIR)).count("MapInArrow") == 1
+    assert plan_of(QUERIES["filter_unknown"](spark, SF_DIR)).count("FileScan") == 1
+
+
 def test_latest_version_shuffles_wide_rows_at_most_once(spark, posts):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")

@@ -1,7 +1,10 @@
 """Cases that no supplied table reaches: odd times and likes, other page sizes, NULL keys, other schemas."""
 
 import pytest
+from palaver.functions.maps import tagged_entries
 from palaver.functions.times import instant_of_iso, local_of_iso
+from palaver.operators import references as R
+from palaver.operators.occurrences import appearance, seen_at
 from palaver.operators.select import filter_post_range
 from palaver.sources.pages import _likes
 from palaver.sources.posts import latest_version, read_posts
@@ -46,3 +49,46 @@ def test_other_schemas_are_refused(spark, tmp_path):
     spark.createDataFrame([("{" + names + "}",), ('{"foo": 1}',)], "value string").coalesce(1).write.text(f"{tmp_path}/j")
     with pytest.raises(ValueError, match="not a posts table"):
         read_posts(spark, f"{tmp_path}/j", "json")
+
+
+def test_ties_rank_by_first_appearance_at_any_position_and_number(spark):
+    """Neither 2^20 positions nor 2^43 posts run into the next post or out of the type."""
+    late = (1 << 20) + 5
+    long = spark.range(1).select(
+        F.lit(1).cast("bigint").alias("post_num"),
+        F.transform(F.sequence(F.lit(0), F.lit(late)), lambda i: F.when(i == late, F.lit("far")).otherwise(F.lit("0"))).alias("mentioned_list"),
+    )
+    rows = [(2, ["next", "next"]), (1 << 43, ["huge"]), ((1 << 63) - 1, ["0", "last"]), (None, ["never"]), (3, None), (4, [])]
+    posts = long.unionByName(spark.createDataFrame(rows, "post_num bigint, mentioned_list array<string>"))
+    times = R.times_mentioned(posts)
+    got = times.orderBy(F.col("first_seen").asc_nulls_last()).select("user_id", "times", *seen_at()).collect()
+    assert [tuple(r) for r in got] == [
+        ("far", 1, 1, late),
+        ("next", 2, 2, 0),
+        ("huge", 1, 1 << 43, 0),
+        ("last", 1, (1 << 63) - 1, 1),
+        ("never", 1, None, None),
+    ]
+
+
+def test_first_appearance_stays_in_a_hash_aggregate(spark):
+    rows = spark.range(10).selectExpr("id as post_num", "1 as pos", "id % 3 as k")
+    plan = rows.groupBy("k").agg(F.min(appearance()).alias("m"))._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
+def test_entries_of_lists_and_maps(spark):
+    rows = [(1, ["a", None], {"x": 2}), (2, None, {}), (3, [], None), (4, None, None)]
+    df = spark.createDataFrame(rows, "id int, l array<string>, m map<string,int>")
+    entries = F.explode(tagged_entries({"list": F.col("l")}, {"map": F.col("m")}))
+    got = df.select("id", entries.alias("e")).select("id", "e.*").collect()
+    assert [tuple(r) for r in got] == [(1, "list", "a", 1), (1, "list", None, 1), (1, "map", "x", 2)]
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_names_of_few_ids_equal_those_of_all(spark, few):
+    rows = [("1", "late", 9), ("1", "early", 2), ("2", "b", 1), ("0", "nobody", 1), (None, "x", 1)]
+    posts = spark.createDataFrame(rows, "author_id string, author string, post_num bigint")
+    ids = spark.createDataFrame([("1",), ("0",), ("7",)], "user_id string")
+    got = R.lookup_author_name(ids, posts, few=few).collect()
+    assert {r.user_id: r["name"] for r in got} == {"1": "early", "0": "0", "7": "7"}

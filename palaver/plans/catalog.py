@@ -33,6 +33,8 @@ QUERIES: dict[str, Query] = {}
 # Parameters shared with the SQL counterparts.
 PAGES = range(3, 400, 7)
 POSTS = range(50, 5_000, 3)
+LONG_PAGES = range(3, 1_000_000, 2)
+LONG_POSTS = range(30, 10_000_000, 7)
 TIMES = (1_704_240_000, 1_705_500_000)
 YEARS = (757_382_400, 836_136_000)  # 1994-01-01 to 1996-06-30 12:00, UTC
 YEAR = 1997
@@ -77,21 +79,24 @@ def src_html_pages(spark, sf_dir):
 
 def _posts_round_trip(spark, sf_dir, fmt):
     path = scratch_path(spark, f"posts-{fmt}")
-    posts_io.write_posts(views.as_posts(views.doc(spark, sf_dir)), path, fmt)
+    posts_io.write_posts(views.whole_posts(spark, sf_dir), path, fmt)
     return posts_io.read_posts(spark, path, fmt)
 
 
 def _post_facts(df):
-    return big(
-        df.select(
-            "post_num",
-            "page_num",
-            "author",
-            "word_count",
-            F.array_join("rulebreak_reasons", ",").alias("reasons"),
-            _stamp("creation_local"),
-        )
-    )
+    """All columns of a posts table; lists, maps and times as plain values."""
+    plain = {}
+    for name, kind in df.dtypes:
+        if kind.startswith("array"):
+            plain[name] = F.array_join(name, "|")
+        elif kind.startswith("map"):
+            pairs = F.transform(F.map_entries(name), lambda e: F.concat_ws("=", e["key"], e["value"]))
+            plain[name] = F.array_join(pairs, "|")
+        elif kind == "timestamp":
+            plain[name] = F.unix_seconds(name)
+        elif kind == "timestamp_ntz":
+            plain[name] = _stamp(name)
+    return big(df.withColumns(plain))
 
 
 @query
@@ -133,10 +138,9 @@ def _extracted(spark, sf_dir):
     return P.extract_posts(pages)
 
 
-@query
-def extract_posts(spark, sf_dir):
+def _extracted_facts(posts):
     return big(
-        _extracted(spark, sf_dir).select(
+        posts.select(
             "thread_id",
             "post_num",
             "page_num",
@@ -159,6 +163,33 @@ def extract_posts(spark, sf_dir):
     )
 
 
+@query
+def extract_posts(spark, sf_dir):
+    return _extracted_facts(_extracted(spark, sf_dir))
+
+
+def _long_threads(spark, sf_dir):
+    return views.with_page_origin(views.thread_pages(spark, sf_dir, long=True))
+
+
+@query
+def extract_long_threads(spark, sf_dir):
+    """Threads of many pages, with post numbers beyond a thousand."""
+    return _extracted_facts(P.extract_posts(_long_threads(spark, sf_dir)))
+
+
+@query
+def extract_page_range(spark, sf_dir):
+    """Every second page from the third on; the others are not parsed."""
+    return _extracted_facts(P.extract_posts(_long_threads(spark, sf_dir), page_range=LONG_PAGES))
+
+
+@query
+def extract_post_range(spark, sf_dir):
+    """Posts of a range with a step, on the pages that can hold them."""
+    return _extracted_facts(P.extract_posts(_long_threads(spark, sf_dir), post_range=LONG_POSTS))
+
+
 @query
 def extract_lists(spark, sf_dir):
     """The list and map columns, one row per entry, from one parse of the pages."""
@@ -697,10 +728,14 @@ def fmt_markup_table(spark, sf_dir):
     return markup.markup_table(table, markup.AUTHOR_HEADINGS, markup.by_messages())
 
 
+@query
+def fmt_markup_violations(spark, sf_dir):
+    return markup.printable("violation_table", views.doc(spark, sf_dir), n=50)
+
+
 @query
 def fmt_markup_table_emojis(spark, sf_dir):
-    table = reports.emoji_table(views.emo(spark, sf_dir))
-    return markup.markup_table(table, markup.EMOJI_HEADINGS, markup.by_count())
+    return markup.printable("emoji_table", views.emo(spark, sf_dir))
 
 
 # --- forecast ------------------------------------------------------------------------------------

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from palaver.operators.occurrences import FIRST_SEEN
 from palaver.operators.ranking import order_of
+from palaver.plans.reports import report
 
 # --- fixed values -----------------------------------------------------------
 AUTHOR_HEADINGS = {
@@ -34,6 +35,23 @@ def by_count() -> list[Column]:
     return order_of("count", (FIRST_SEEN, "emoji"))
 
 
+PRINTABLE = {
+    "author_table": (AUTHOR_HEADINGS, by_messages),
+    "violation_table": (AUTHOR_HEADINGS, by_rate),
+    "emoji_table": (EMOJI_HEADINGS, by_count),
+}
+
+
+def printable(name: str, posts: DataFrame, **options) -> DataFrame:
+    """A report by name as the lines of a table. A table covers one selection of posts, so there is no ``by``."""
+    if name not in PRINTABLE:
+        raise ValueError(f"{name} is no table to print; there are {', '.join(PRINTABLE)}")
+    if options.get("by"):
+        raise ValueError("filter the posts of one group and print its table")
+    headings, order = PRINTABLE[name]
+    return markup_table(report(name, posts, **options), headings, order())
+
+
 def _cell(value: Column) -> Column:
     return F.concat(F.lit("[TD]"), value, F.lit("[/TD]"))
 
@@ -43,7 +61,7 @@ def _row(cells: Sequence[Column]) -> Column:
 
 
 def markup_table(
-    report: DataFrame, headings: Mapping[str, str], order: Sequence[Column]
+    table: DataFrame, headings: Mapping[str, str], order: Sequence[Column]
 ) -> DataFrame:
     """A report as the lines of one table, in order: opening, rows, closing.
 
@@ -57,9 +75,9 @@ def markup_table(
         else F.col(c).cast("string")
         for c in headings
     ]
-    body = report.withColumn("line", _row(cells)).withColumn("section", F.lit(1))
+    body = table.withColumn("line", _row(cells)).withColumn("section", F.lit(1))
     first = F.concat(F.lit("[TABLE=full]"), _row([F.lit(h) for h in headings.values()]))
-    frame = report.sparkSession.range(1).select(
+    frame = table.sparkSession.range(1).select(
         F.inline(
             F.array(
                 F.struct(F.lit(0).alias("section"), first.alias("line")),

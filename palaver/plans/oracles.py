@@ -8,27 +8,40 @@ from __future__ import annotations
 
 import re
 
-from palaver.functions.text import (
-    INVISIBLE,
-    PUNCTUATION,
-    WHITESPACE,
-    char_class,
-    emoji_class,
-)
+import regex
 
 ORACLES: dict[str, str] = {}
 
+# --- fixed values: what separates words or ends a sentence, what is stripped ---
+_PUNCTUATION = ".?!\"„“‚‘»«‹›,;:'’–—‐-·/()[]<>{}…☞‽¡¿⸘、"
+_UNSEEN = [ord(c) for c in "\u034f\u115f\u1160\u17b4\u17b5 "]
+_BLANKS = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+_INFORMATION_SEPARATORS = [*range(0x1C, 0x20)]
+# ------------------------------------------------------------------------------
+
 
 def _text(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
 
-_SPACES = "".join(f"\\x{{{ord(c):x}}}" for c in WHITESPACE if c not in "\x1c\x1d\x1e\x1f")
-_SEPARATORS = _text(f"[{_SPACES}{char_class(PUNCTUATION)}]")
+def _in_class(codes) -> str:
+    return "".join(f"\\x{{{c:x}}}" for c in codes)
+
+
+def _characters(codes) -> str:
+    return "||".join(f"chr({c})" for c in codes)
+
+
+# Emojis on their own: no key-cap bases, no regional indicators.
+_EMOJIS = [
+    c for c in range(0x80, 0x20000) if not 0x1F1E6 <= c < 0x1F200 and regex.match(r"\p{Emoji}", chr(c))
+]
+_ENDS = [ord(c) for c in _PUNCTUATION]
+_SEPARATORS = _text(f"[{_in_class(_BLANKS + _ENDS)}]")
 _WORD = r"'[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]'"
-_STRIP = "".join(f"chr({ord(c)})||" for c in WHITESPACE)[:-2]
-_STRIP_MORE = "".join(f"chr({ord(c)})||" for c in INVISIBLE)[:-2]
-_LAST = _text(f"[{char_class(PUNCTUATION)}\\\\{emoji_class()}]")
+_STRIP = _characters(_BLANKS + _INFORMATION_SEPARATORS)
+_STRIP_MORE = _characters(_UNSEEN)
+_LAST = _text(f"[{_in_class([*_ENDS, ord(chr(92)), *_EMOJIS])}]")
 
 VIEWS = {
     "doc_text": f"""
@@ -145,6 +158,9 @@ VIEWS = {
         SELECT *, trim(content, {_STRIP_MORE}) AS stripped,
                list_filter(string_split_regex(content, {_SEPARATORS}),
                            lambda w: regexp_matches(w, {_WORD})) AS words FROM forum""",
+    "long_words": """
+        SELECT * REPLACE ('long' || conv_id % 2 AS thread_id, conv_id // 2 * 33 + turn + 1 AS post_num)
+        FROM forum_words""",
     "ord_period": """
         SELECT * FROM ord WHERE creation_local BETWEEN TIMESTAMP '1994-01-01' AND TIMESTAMP '1996-06-30 12:00:00'""",
     "evt_page_period": "SELECT * FROM evt WHERE page_num BETWEEN 10 AND 40",
@@ -215,8 +231,20 @@ def _sql(name: str, body: str) -> None:
 
 _SEEN = "first_seen.post AS seen_post, first_seen.pos AS seen_pos"
 _FACTS = """
-    SELECT post_num, page_num, author, word_count, reasons,
-           strftime(creation_local, '%Y-%m-%d %H:%M:%S') AS creation_local FROM doc"""
+    SELECT thread_id, CAST(post_num - 1 AS VARCHAR) AS post_id, post_num, page_num, author,
+           regexp_extract(author, '[0-9]+') AS author_id,
+           strftime(creation_local, '%Y-%m-%dT%H:%M:%S+0000') AS creation_datetime, content,
+           post_num % 7 AS like_count, post_num % 3 AS quote_count,
+           CASE post_num % 3 WHEN 1 THEN author WHEN 2 THEN author || '|x' END AS quoted_list,
+           post_num % 5 AS spoiler_count,
+           CASE WHEN post_num % 2 = 0 THEN CAST(2 AS BIGINT) ELSE 0 END AS mentions_count,
+           CASE WHEN post_num % 2 = 0 THEN author || '|x' ELSE '' END AS mentioned_list,
+           word_count, array_to_string(words, '|') AS words, post_num % 4 AS emoji_count,
+           ':a:=' || post_num % 4 AS emoji_frequency_mapping, post_num % 11 = 0 AS is_edited,
+           is_rules_compliant, replace(reasons, ',', '|') AS rulebreak_reasons,
+           epoch_us(creation_local) // 1000000 AS creation_ts,
+           strftime(creation_local, '%Y-%m-%d %H:%M:%S') AS creation_local,
+           post_num AS ingested_at, thread_id || '/' || page_num AS source_path FROM doc"""
 _AUTHOR_TABLE = """
     SELECT author, messages, violations, violations / messages * 100 AS violation_pct,
            violations / messages AS violation_rate, first_post FROM doc_authors"""
@@ -260,8 +288,8 @@ _sql("concat_parts", """
 _sql("sort_posts", "SELECT post_num, author FROM doc_text")
 
 # --- extraction
-_sql("extract_posts", f"""
-    SELECT thread_id, post_num, CAST(1 AS BIGINT) AS page_num,
+_EXTRACTED = f"""
+    SELECT thread_id, post_num, (post_num + 19) // 20 AS page_num,
            CAST(conv_id * 100 + turn AS VARCHAR) AS post_id, role AS author, author_id,
            strftime(creation_local, '%Y-%m-%dT%H:%M:%S') || '+0200' AS creation_datetime,
            strftime(creation_local, '%Y-%m-%d %H:%M:%S') AS creation_local,
@@ -273,7 +301,13 @@ _sql("extract_posts", f"""
            stripped <> '' AND len(words) >= 5
              AND regexp_matches(regexp_extract(stripped, '\\p{{L}}'), '^\\p{{Lu}}$')
              AND regexp_matches(right(stripped, 1), {_LAST}) AS is_rules_compliant
-    FROM forum_words""")
+    FROM """
+_sql("extract_posts", _EXTRACTED + "forum_words")
+_sql("extract_long_threads", _EXTRACTED + "long_words")
+_sql("extract_page_range", f"""
+    SELECT * FROM ({_EXTRACTED}long_words) WHERE page_num BETWEEN 3 AND 999999 AND page_num % 2 = 1""")
+_sql("extract_post_range", f"""
+    SELECT * FROM ({_EXTRACTED}long_words) WHERE post_num BETWEEN 30 AND 9999999 AND (post_num - 30) % 7 = 0""")
 _sql("extract_lists", """
     SELECT thread_id, post_num, 'user' AS item, 'quote' AS kind, CAST(1 AS BIGINT) AS n
     FROM forum WHERE turn > 0
@@ -508,14 +542,16 @@ _sql("rep_letters", """
 _sql("rep_letters_first_any", """
     SELECT left(word, 1) AS char, count(*) AS count, min(post_num) AS first_post
     FROM word_rows GROUP BY left(word, 1)""")
-_sql("fmt_markup_table", """
+_MARKUP_TABLE = """
     SELECT '[TR][TD]' || author || '[/TD][TD]' || messages || '[/TD][TD]' || violations
            || '[/TD][TD]' || CAST(violations / messages * 100 AS VARCHAR) || '%[/TD][/TR]' AS line
-    FROM doc_authors
+    FROM doc_authors WHERE messages >= {n}
     UNION ALL SELECT '[TABLE=full][TR][TD]Spieler[/TD][TD]Anzahl Beiträge[/TD]'
            || '[TD]Anzahl nicht regelkonformer Beiträge[/TD]'
            || '[TD]Prozentanzahl nicht regelkonformer Beiträge[/TD][/TR]'
-    UNION ALL SELECT '[/TABLE]'""")
+    UNION ALL SELECT '[/TABLE]'"""
+_sql("fmt_markup_table", _MARKUP_TABLE.format(n=0))
+_sql("fmt_markup_violations", _MARKUP_TABLE.format(n=50))
 _sql("fmt_markup_table_emojis", """
     SELECT '[TR][TD]' || emoji || '[/TD][TD]' || count || '[/TD][/TR]' AS line FROM emo_freq
     UNION ALL SELECT '[TABLE=full][TR][TD]Emoji[/TD][TD]Anzahl[/TD][/TR]'

@@ -115,14 +115,28 @@ def _times(times: Column, piece: str) -> Column:
     return F.repeat(F.lit(piece), times.cast("int"))
 
 
-def thread_pages(spark: SparkSession, sf_dir: str, max_turn: int | None = None) -> DataFrame:
+# In long threads each conversation takes up this many post numbers, so that threads
+# have gaps, pages cut conversations and numbers pass one thousand.
+LONG_STRIDE = 33
+LONG_THREADS = 2
+
+
+def thread_pages(
+    spark: SparkSession, sf_dir: str, max_turn: int | None = None, long: bool = False
+) -> DataFrame:
     """Conversations as thread pages (thread_id, page_num, html).
 
     A turn's number decides how many quotes, mentions, likes, spoilers and
     smilies its post has, so that each can be checked. ``max_turn`` renders the
-    threads as they were when that turn was the last.
+    threads as they were when that turn was the last. With ``long`` every second
+    conversation goes into the same thread, one behind the other.
     """
     turns = table(spark, sf_dir, "conversations")
+    conv = F.col("conv_id")
+    thread_id, post_num = conv.cast("string"), F.col("turn") + 1
+    if long:
+        thread_id = F.concat(F.lit("long"), conv % LONG_THREADS)
+        post_num += F.floor(conv / LONG_THREADS) * LONG_STRIDE
     if max_turn is not None:
         turns = turns.filter(F.col("turn") <= max_turn)
     turn, role = F.col("turn"), F.col("role")
@@ -134,7 +148,7 @@ def thread_pages(spark: SparkSession, sf_dir: str, max_turn: int | None = None)
     local = F.date_format(
         _local("2020-05-11", F.col("conv_id") * 60 + turn), "yyyy-MM-dd'T'HH:mm:ss"
     )
-    number = F.replace(F.format_number(turn + 1, 0), F.lit(","), F.lit("."))
+    number = F.replace(F.format_number(post_num, 0), F.lit(","), F.lit("."))
     post = F.concat(
         F.lit('<article class="message message--post" data-author="'),
         _escaped(role),
@@ -175,15 +189,15 @@ def thread_pages(spark: SparkSession, sf_dir: str, max_turn: int | None = None)
         ).otherwise(F.lit("")),
         F.lit("</article>"),
     )
-    page = page_of_post(turn + 1).cast("int")
+    page = page_of_post(post_num).cast("int")
     # A page holds at most twenty posts.
-    posts = F.array_sort(F.collect_list(F.struct(turn.alias("turn"), post.alias("html"))))
+    posts = F.array_sort(F.collect_list(F.struct(post_num.alias("num"), post.alias("html"))))
     body = F.array_join(F.transform(posts, lambda p: p["html"]), "")
     # Shuffled by page up front: the grouping needs no further shuffle, and as a
     # set number of partitions it is not merged into few, whose pages the parser
     # would then work through alone.
     keyed = turns.withColumns(
-        {"thread_id": F.col("conv_id").cast("string"), "page_num": page}
+        {"thread_id": thread_id, "page_num": page}
     ).repartition(shuffle_width(spark), "thread_id", "page_num")
     html = F.concat(F.lit("<html><body>"), body, F.lit("</body></html>"))
     return keyed.groupBy("thread_id", "page_num").agg(html.alias("html"))
@@ -210,6 +224,31 @@ THREAD_FOLDER = r"thread_id=([^/]+)/"
 PAGE_FOLDER = r"page=page_(\d+)"
 
 
+def whole_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc`` with a value in every column of a posts table."""
+    num = F.col("post_num")
+    lists = F.array("author", F.lit("x"))
+    return as_posts(
+        doc(spark, sf_dir).select(
+            "*",
+            (num - 1).cast("string").alias("post_id"),
+            F.date_format("creation_local", "yyyy-MM-dd'T'HH:mm:ss'+0000'").alias("creation_datetime"),
+            (num % 7).alias("like_count"),
+            F.when(num % 3 > 0, F.slice(lists, 1, (num % 3).cast("int"))).alias("quoted_list"),
+            (num % 3).alias("quote_count"),
+            (num % 5).alias("spoiler_count"),
+            F.when(num % 2 == 0, lists).otherwise(F.array().cast(_STRINGS)).alias("mentioned_list"),
+            F.when(num % 2 == 0, 2).otherwise(0).alias("mentions_count"),
+            (num % 4).alias("emoji_count"),
+            F.create_map(F.lit(":a:"), (num % 4).cast("int")).alias("emoji_frequency_mapping"),
+            (num % 11 == 0).alias("is_edited"),
+            instant_of_utc(F.col("creation_local")).alias("creation_ts"),
+            F.timestamp_seconds(num).alias("ingested_at"),
+            F.concat_ws("/", "thread_id", "page_num").alias("source_path"),
+        )
+    )
+
+
 def as_posts(df: DataFrame) -> DataFrame:
     """Fill the columns a view does not define, giving a full posts table."""
     return df.select(

@@ -6,7 +6,8 @@ from palaver.functions.times import instant_of_iso, local_of_iso
 from palaver.operators import references as R
 from palaver.operators.occurrences import appearance, seen_at
 from palaver.operators.select import filter_post_range
-from palaver.sources.pages import _likes
+from palaver.plans import markup, views
+from palaver.sources.pages import _likes, extract_posts
 from palaver.sources.posts import latest_version, read_posts
 from pyspark.sql import functions as F
 
@@ -92,3 +93,30 @@ def test_names_of_few_ids_equal_those_of_all(spark, few):
     ids = spark.createDataFrame([("1",), ("0",), ("7",)], "user_id string")
     got = R.lookup_author_name(ids, posts, few=few).collect()
     assert {r.user_id: r["name"] for r in got} == {"1": "early", "0": "0", "7": "7"}
+
+
+def test_tables_are_printed_by_report_name(spark):
+    posts = spark.createDataFrame(
+        [(n, a, ok) for n, (a, ok) in enumerate([("x", True), ("y", False), ("x", False), ("y", False)])],
+        "post_num bigint, author string, is_rules_compliant boolean",
+    )
+    lines = [r.line for r in markup.printable("violation_table", views.as_posts(posts), n=1).collect()]
+    assert lines[0].startswith("[TABLE=full]") and lines[-1] == "[/TABLE]"
+    assert lines[1:-1] == [
+        "[TR][TD]x[/TD][TD]2[/TD][TD]1[/TD][TD]50.0%[/TD][/TR]",
+        "[TR][TD]y[/TD][TD]2[/TD][TD]2[/TD][TD]100.0%[/TD][/TR]",
+    ]
+    for name, options in (("letters", {}), ("author_table", {"by": ["thread_id"]})):
+        with pytest.raises(ValueError):
+            markup.printable(name, posts, **options)
+
+
+def test_pages_outside_a_range_are_not_parsed(spark):
+    """A page that would fail the job if it was parsed stands outside the ranges."""
+    pages = views.with_page_origin(views.thread_pages(spark, "/root/testdata/sf0.001", long=True))
+    bad = F.when(F.col("page_num") == 1, F.raise_error(F.lit("parsed"))).otherwise(F.col("html"))
+    pages = pages.withColumn("html", bad)
+    assert extract_posts(pages, page_range=range(2, 100)).count() > 0
+    assert extract_posts(pages, post_range=range(21, 2000)).count() > 0
+    with pytest.raises(Exception, match="parsed"):
+        extract_posts(pages, page_range=range(1, 2)).count()

@@ -24,14 +24,19 @@ def char_counts_all(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return _count(rows.filter(F.col("char") != ""), by)
 
 
+def _one_of_each(df: DataFrame, start: int, by: Sequence[str]) -> DataFrame:
+    # Cut inside the array: of a plain array column Spark would first ask whether it
+    # is empty, and split a post's text once more for that.
+    chars = F.transform("words", lambda word: F.substring(word, start, 1))
+    return _count(df.select(*by, "post_num", F.explode(chars).alias("char")), by)
+
+
 def char_counts_first(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    words = df.select(*by, "post_num", F.explode("words").alias("word"))
-    return _count(words.withColumn("char", F.substring("word", 1, 1)), by)
+    return _one_of_each(df, 1, by)
 
 
 def char_counts_last(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    words = df.select(*by, "post_num", F.explode("words").alias("word"))
-    return _count(words.withColumn("char", F.substring("word", -1, 1)), by)
+    return _one_of_each(df, -1, by)
 
 
 def char_counts(df: DataFrame, mode: str, by: Sequence[str] = ()) -> DataFrame:

@@ -3,14 +3,16 @@
 Lines with a word count, blank ones are passed over. Every three consecutive
 lines form a window; a window found again, in another text or later in the same
 one, marks its three lines there, and overlapping marks merge. The first place of
-a window, by smallest doc_id and then position, keeps its lines.
+a window, by smallest doc_id and then position, keeps its lines. A text of fewer than
+three lines with a word has one window of all of them, found again only in texts
+that hold just these lines.
 
 The first place of each window is a partial minimum before the shuffle, so a
 window that a third of all texts share arrives as one row for each task. Texts
 travel once, to meet the starts of their repeated windows.
 
-Defined cases: null text has no lines and stays null; a text of fewer than three
-lines with a word has no window and stays; rows with one doc_id and one text hold the same
+Defined cases: null text has no lines and stays null; a text without a word has no
+window and stays; rows with one doc_id and one text hold the same
 places and stay alike; null doc_id comes first; all other columns are kept.
 """
 
@@ -31,7 +33,10 @@ def _solid(text):
 
 
 def repeated_windows(docs: DataFrame, lines: int = WINDOW) -> DataFrame:
-    """doc_id, text_md5 and ``starts``: where, among the lines with a word, windows begin that were seen before."""
+    """doc_id, text_md5 and ``starts``: where, among the lines with a word, windows begin that were seen before.
+
+    A window never equals a shorter one: it has more line breaks.
+    """
     # The lines with a word, in order.
     solid = F.filter(F.split("text", "\n"), lambda x: x.rlike(WORD))
     window = lambda held, i: F.struct(
@@ -40,7 +45,8 @@ def repeated_windows(docs: DataFrame, lines: int = WINDOW) -> DataFrame:
     windows = let(
         solid,
         lambda held: F.when(
-            F.size(held) >= lines, F.transform(F.sequence(F.lit(0), F.size(held) - lines), lambda i: window(held, i))
+            F.size(held) > 0,
+            F.transform(F.sequence(F.lit(0), F.greatest(F.size(held) - lines, F.lit(0))), lambda i: window(held, i)),
         ),
     )
     places = stored(
@@ -108,7 +114,9 @@ solid AS (
   FROM line WHERE regexp_matches(x, '[^\x20\x09-\x0D]')),
 win AS (
   SELECT a.row, a.doc_id, a.i, a.x || chr(10) || b.x || chr(10) || c.x AS w
-  FROM solid a JOIN solid b ON a.row = b.row AND b.i = a.i + 1 JOIN solid c ON a.row = c.row AND c.i = a.i + 2),
+  FROM solid a JOIN solid b ON a.row = b.row AND b.i = a.i + 1 JOIN solid c ON a.row = c.row AND c.i = a.i + 2
+  UNION ALL
+  SELECT row, any_value(doc_id), 0, string_agg(x, chr(10) ORDER BY i) FROM solid GROUP BY row HAVING count(*) < 3),
 later AS (
   SELECT row, i FROM (SELECT row, i, row_number() OVER (PARTITION BY w ORDER BY doc_id, i) AS r FROM win) WHERE r > 1),
 gone AS (

@@ -57,10 +57,10 @@ def plain_line_dedup(texts):
         lines = texts[key].split("\n")
         solid = [i for i, x in enumerate(lines) if words_of(x)]
         gone = set()
-        for a, b, c in zip(solid, solid[1:], solid[2:]):
-            window = (lines[a], lines[b], lines[c])
+        for a in range(max(len(solid) - 2, 1 if solid else 0)):
+            window = tuple(lines[i] for i in solid[a : a + 3])
             if window in seen:
-                gone |= {a, b, c}
+                gone |= {*solid[a : a + 3]}
             seen.add(window)
         out[key] = "\n".join(x for i, x in enumerate(lines) if i not in gone)
     return out
@@ -105,6 +105,14 @@ def test_line_windows(docs):
     assert again.count() == docs.count()
 
 
+def test_line_windows_of_short_texts(spark):
+    texts = ["a b", "a b\nc", "a b", "\na b\n\nc", "c", "a b\nc\nd", "c\na b", "", " \n", None, "x\na b\nc\nd\ny", "c"]
+    got = line_windows.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    want = dict(enumerate(texts)) | {2: "", 3: "\n", 10: "x\ny", 11: ""}
+    assert {r.doc_id: r.text for r in got.collect()} == want
+    assert plain_line_dedup(dict(enumerate(texts))) == want
+
+
 def test_near_duplicates(spark, docs):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in count_vector_join.near_duplicates(docs).collect()}
     want = plain_components(dict(enumerate(TEXTS)))

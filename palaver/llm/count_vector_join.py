@@ -43,6 +43,7 @@ from pyspark.sql import functions as F
 
 from palaver.llm.common import held, ranked, released, stored
 from palaver.llm.components import components
+from palaver.session import at_most
 
 SHINGLE_WORDS = 5
 MIN_PERCENT = 75
@@ -61,6 +62,8 @@ STAR_ROUNDS, EARLY = 2, 12
 ID_BITS = 20
 
 PIECE_BYTES = 1 << 20
+#: Rows handed to a Python worker at once: whole texts, two of them when pairs are verified.
+ARROW_ROWS = 512
 _ODD = 0x9E3779B97F4A7C15
 
 
@@ -570,6 +573,12 @@ def named_rows(
     docs: DataFrame, *, shingle_words: int = SHINGLE_WORDS, min_percent: int = MIN_PERCENT, frequent: int = FREQUENT
 ) -> DataFrame:
     """The rows of ``near_duplicates`` with their texts' digests, text_md5."""
+    # All steps in Python are stored before this returns.
+    with at_most(docs.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS):
+        return _named_rows(docs, shingle_words, min_percent, frequent)
+
+
+def _named_rows(docs: DataFrame, shingle_words: int, min_percent: int, frequent: int) -> DataFrame:
     import numpy as np
 
     signed = stored(_signatures(docs, shingle_words), "signatures")

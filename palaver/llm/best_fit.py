@@ -22,7 +22,7 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palaver.llm.tokens import splits_at_blanks, tokenizer, worker_cache
+from palaver.llm.tokens import WordIds, splits_at_blanks, tokenizer, worker_cache
 
 VOCABULARY = "word_bpe_49k.json"
 CAPACITY = 2048
@@ -42,24 +42,23 @@ class WordEncoder:
     """
 
     def __init__(self, tok, known: dict[str, bytes] | None = None, size: int = CACHE_WORDS):
-        self.tok, self.size, self.known = tok, size, {} if known is None else known
+        self.ids, self.size, self.known = WordIds(tok), size, {} if known is None else known
 
     def learn(self, words: set[str]) -> None:
         fresh = list(words.difference(self.known))
+        if not fresh:
+            return
         if len(self.known) + len(fresh) > self.size:
             self.known.clear()
             fresh = list(words)
-        for k in range(0, len(fresh), 4096):
-            part = fresh[k : k + 4096]
-            for w, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False)):
-                ids = e.ids
-                self.known[w] = struct.pack(f"<{len(ids)}I", *ids)
+        for w, ids in zip(fresh, self.ids(fresh)):
+            self.known[w] = struct.pack(f"<{len(ids)}I", *ids)
 
     def __call__(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         words = text.replace("\n", " ").split(" ")
         self.learn(set(words))
-        return b"".join([self.known[w] for w in words])
+        return b"".join(map(self.known.__getitem__, words))
 
 
 class LibraryEncoder:

@@ -74,32 +74,50 @@ def splits_at_blanks(tok) -> bool:
 
 
 #: Letters and then marks, without quotes and angle brackets: two pre-tokens for most vocabularies of words.
-_SIMPLE = re.compile(r"([A-Za-z]+)([!-&(-/:;=?@\[-`{-~]*)")
+_MARKS = r"[!-&(-/:;=?@\[-`{-~]*"
+_SIMPLE = [re.compile(f"([{letters}]+)({_MARKS})") for letters in ("A-Za-zÀ-ÖØ-öø-ÿ", "A-Za-z")]
 
 
 class WordIds:
-    """Ids of words between blanks. Simple ASCII words go straight to the model, if the tokenizer treats them simply."""
+    """Ids of words between blanks. Simple words go straight to the model, if the tokenizer treats them simply.
+
+    Simple are letters of Latin-1, or else of ASCII, with ASCII marks behind them.
+    """
 
     def __init__(self, tok):
         self.tok, self.marks = tok, {"": []}
-        self.simple = self._simple()
-
-    def _simple(self) -> bool:
-        """Whether a simple word is its letters in lower case and its marks, each a pre-token as it stands."""
-        tok, letters = self.tok, "abcdefghijklmnopqrstuvwxyz"
-        marks = [chr(k) for k in range(33, 127) if _SIMPLE.fullmatch("a" + chr(k)) and not chr(k).isalpha()]
-        if any(_SIMPLE.fullmatch("a" + t.content) for t in tok.get_added_tokens_decoder().values()):
+        self.written: dict[int, str] = {}
+        self.simple = next((p for p in _SIMPLE if self._simple(p)), None)
+
+    def _simple(self, pattern: re.Pattern) -> bool:
+        """Whether a simple word is its letters in lower case and its marks, each a pre-token as it stands or, of letters beyond ASCII, as ``written``."""
+        tok = self.tok
+        cased = "".join(chr(k) for k in range(65, 256) if pattern.fullmatch(chr(k)))
+        letters = "".join(dict.fromkeys(cased.lower()))
+        marks = [chr(k) for k in range(33, 127) if pattern.fullmatch("a" + chr(k)) and not chr(k).isalpha()]
+        if any(pattern.fullmatch("a" + t.content) for t in tok.get_added_tokens_decoder().values()):
             return False
-        if tok.normalizer is None or tok.normalizer.normalize_str(letters.upper() + "".join(marks)) != letters + "".join(marks):
+        if tok.normalizer is None or tok.normalizer.normalize_str(cased + "".join(marks)) != cased.lower() + "".join(marks):
             return False
         split = lambda t: [piece for piece, _ in tok.pre_tokenizer.pre_tokenize_str(t)]
-        return split(letters) == [letters] and all(split(f"ab{a}{b}") == ["ab", a + b] for a in marks for b in marks)
+        alone = {c: split(c) for c in letters}
+        if any(len(p) != 1 or (c.isascii() and p != [c]) for c, p in alone.items()):
+            return False
+        self.written = {ord(c): p[0] for c, p in alone.items() if not c.isascii()}
+        write = lambda t: t.translate(self.written)
+        return (
+            split(letters) == [write(letters)]
+            and all(split(f"{c}b{c}{marks[0]}") == [write(f"{c}b{c}"), marks[0]] for c in letters)
+            and all(split(f"{c}{a}{b}") == [write(c), a + b] for c in ("ab", letters[-1]) for a in marks for b in marks)
+        )
 
     def __call__(self, words: list[str]) -> list[list[int]]:
+        if not words:
+            return []
         out, rest = [None] * len(words), []
-        model = self.tok.model.tokenize
+        model, simple = self.tok.model.tokenize, self.simple.fullmatch if self.simple else lambda word: None
         for k, word in enumerate(words):
-            found = _SIMPLE.fullmatch(word) if self.simple else None
+            found = simple(word)
             if found is None:
                 rest.append(k)
                 continue
@@ -108,7 +126,8 @@ class WordIds:
                 if len(self.marks) > 100_000:
                     self.marks = {"": []}
                 self.marks[tail] = [t.id for t in model(tail)]
-            out[k] = [t.id for t in model(head.lower())] + self.marks[tail]
+            head = head.lower()
+            out[k] = [t.id for t in model(head if head.isascii() else head.translate(self.written))] + self.marks[tail]
         for at in range(0, len(rest), 4096):
             part = rest[at : at + 4096]
             for k, e in zip(part, self.tok.encode_batch_fast([words[k] for k in part], add_special_tokens=False)):

@@ -187,6 +187,8 @@ class Words:
             young, old = {}, young
             self.known.update(young=young, old=old)
             missing = words
+        if not missing:
+            return young
         fresh = []
         for w in missing:
             held = old.get(w)
@@ -201,25 +203,29 @@ class Words:
     def many(self, texts: list[str]) -> list[Piece]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
         known = self._learn(set().union(*split))
-        return [self._piece(words, [known[w] for w in words], len(t)) for words, t in zip(split, texts)]
+        return [self._piece(words, known, len(t)) for words, t in zip(split, texts)]
 
     def one(self, text: str) -> Piece:
         return self.many([text])[0]
 
-    def _piece(self, words: list[str], parts: list[bytes], length: int) -> Piece:
+    def _piece(self, words: list[str], known: dict[str, bytes], length: int) -> Piece:
         import numpy as np
 
-        ids = np.frombuffer(b"".join(parts), "<u4")
-        starts, place, token = [], 0, 0
-        for w, part in zip(words[: 2 * MARKS], parts):
-            if part:
-                starts.append((place, token))
-            place, token = place + len(w) + 1, token + len(part) // 4
+        ids = np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4")
         tail, place, token = [], length + 1, len(ids)
-        for w, part in zip(reversed(words[2 * MARKS :][-MARKS:]), reversed(parts)):
-            place, token = place - len(w) - 1, token - len(part) // 4
-            if part:
+        for w in reversed(words[2 * MARKS :][-MARKS:]):
+            tokens = len(known[w]) // 4
+            place, token = place - len(w) - 1, token - tokens
+            if tokens:
                 tail.append((place, token))
+        starts, place, token = [], 0, 0
+        for w in words[: 2 * MARKS]:
+            tokens = len(known[w]) // 4
+            if tokens:
+                starts.append((place, token))
+                if len(starts) == len(tail) == MARKS:
+                    break  # all that are kept
+            place, token = place + len(w) + 1, token + tokens
         return Piece(ids, starts + tail[::-1], length)
 
     def window(self, text: str, place: int, known: dict[int, int], right: Piece, cut: int, end: int):
